@@ -222,7 +222,7 @@ def _kappa(source: str, group: str | None) -> str:
         return f" AND {a}.{group} = {b}.{group}" if group else ""
 
     outer = f"t.{group}, " if group else ""
-    return f"""SELECT {outer}round(1 - any_value(t.o) / sum((r.i - c.i) * (r.i - c.i) * r.n * c.n / t.n), 6) AS qwk
+    return f"""SELECT {outer}1 - any_value(t.o) / sum((r.i - c.i) * (r.i - c.i) * r.n * c.n / t.n) AS qwk
   FROM (SELECT {('s.' + group + ', ') if group else ''}count(*)::DOUBLE AS n,
                sum((a.i - b.i) * (a.i - b.i))::DOUBLE AS o
         FROM {source} s JOIN ({labels}) a ON a.label = s.y{same('a', 's')}
@@ -238,7 +238,7 @@ def _f1(source: str, group: str | None) -> str:
     key = f"{group}, " if group else ""
     join = f"AND a.{group} = b.{group}" if group else ""
     by = f"GROUP BY {group}" if group else ""
-    return f"""SELECT {key}round(sum(f1 * support) / sum(support), 6) AS f1 FROM (
+    return f"""SELECT {key}sum(f1 * support) / sum(support) AS f1 FROM (
   SELECT {('a.' + group + ', ') if group else ''}a.support,
          CASE WHEN a.hits = 0 THEN 0 ELSE 2 * (a.hits / b.n) * (a.hits / a.support)
               / (a.hits / b.n + a.hits / a.support) END AS f1
@@ -336,15 +336,16 @@ FROM (SELECT {CELL_COLUMNS}, f.fold = c.fold AS held_out
       FROM (SELECT * FROM t_cells UNION ALL SELECT * FROM c_cells) c JOIN folds f ON f.essay_id = c.essay_id)
 GROUP BY ALL""",
         "confusion_matrix": _with(PAIRS) + "SELECT y, p, count(*) AS n FROM pairs GROUP BY ALL",
-        "qwk": _with(PAIRS) + _kappa("pairs", None),
+        "qwk": _with(PAIRS) + f"SELECT round(qwk, 6) AS qwk FROM ({_kappa('pairs', None)})",
         "qwk_moment": _with(PAIRS)
         + """SELECT round(1 - avg((y - p) * (y - p)) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 6)
   AS qwk FROM pairs""",
-        "weighted_f1": _with(PAIRS) + _f1("pairs", None),
+        "weighted_f1": _with(PAIRS) + f"SELECT round(f1, 6) AS f1 FROM ({_f1('pairs', None)})",
         "fold_report": _with(PAIRS, f"k AS ({_kappa('pairs', 'fold')})", f"f AS ({_f1('pairs', 'fold')})")
-        + f"""SELECT 'fold' AS scope, k.fold, f.f1, k.qwk FROM k JOIN f ON f.fold = k.fold
+        + f"""SELECT 'fold' AS scope, k.fold, round(f.f1, 6) AS f1, round(k.qwk, 6) AS qwk FROM k JOIN f ON f.fold = k.fold
 UNION ALL SELECT 'mean', -1, (SELECT round(avg(f1), 6) FROM f), (SELECT round(avg(qwk), 6) FROM k)
-UNION ALL SELECT 'pooled', -1, ({_f1('pairs', None)}), ({_kappa('pairs', None)})""",
+UNION ALL SELECT 'pooled', -1, (SELECT round(f1, 6) FROM ({_f1('pairs', None)})),
+  (SELECT round(qwk, 6) FROM ({_kappa('pairs', None)}))""",
         "oof_union": _with(PAIRS) + "SELECT fold, y, p, count(*) AS n FROM pairs GROUP BY ALL",
         "clip_round": _with(PAIRS) + "SELECT essay_id, p AS score FROM pairs",
         "qwk_gradient": _with(
