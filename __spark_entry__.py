@@ -154,8 +154,7 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = mart.fold_assignment(roles.essay_keys(spark, sf_dir))
-    return mart.with_folds(roles.essays(spark, sf_dir).select("essay_id", "full_text"), folds)
+    return mart.fold_texts(roles.essays(spark, sf_dir), mart.fold_assignment(roles.essay_keys(spark, sf_dir)))
 
 
 def _vocabulary(vec: ngrams.Vectorizer):
@@ -194,19 +193,19 @@ def count_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_transform_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _fold_texts(spark, sf_dir)
     vocabulary = ngrams.fit(texts, ngrams.TFIDF, by_fold=True)
-    return _digest(ngrams.transform_sides(texts, vocabulary, ngrams.TFIDF, held_out=True))
+    return _digest(ngrams.transform(texts, vocabulary, ngrams.TFIDF, held_out=True))
 
 
 def count_transform_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _fold_texts(spark, sf_dir)
     vocabulary = ngrams.fit(texts, ngrams.COUNT, by_fold=True)
-    return ngrams.transform_sides(texts, vocabulary, ngrams.COUNT, held_out=True)
+    return ngrams.transform(texts, vocabulary, ngrams.COUNT, held_out=True).drop("held_out")
 
 
 def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    essays = roles.essays(spark, sf_dir)
-    folds = mart.fold_assignment(roles.essay_keys(spark, sf_dir))
-    return _digest(mart.fold_features(essays, folds).cells, "held_out")
+    texts = _fold_texts(spark, sf_dir)
+    vocabularies = {vec: ngrams.fit(texts, vec, by_fold=True) for vec in mart.VECTORIZERS}
+    return _digest(ngrams.meta_features(texts, vocabularies), "held_out")
 
 
 # --- metrics and objective ----------------------------------------------------------
@@ -330,16 +329,15 @@ def _cross_validated(spark: SparkSession, sf_dir: str):
     """The whole training chain on text statistics and character pairs and triples."""
     essays = roles.essays(spark, sf_dir)
     folds = mart.fold_assignment(roles.essay_keys(spark, sf_dir))
-    table = materialize(_mart(spark, sf_dir))
-    meta = mart.fold_features(essays, folds, (ngrams.COUNT,))
-    cells = materialize(meta.cells)
+    table = materialize(_mart(spark, sf_dir).join(folds.select("essay_id", "fold"), "essay_id"))
+    blocks = mart.fit_blocks(mart.fold_texts(essays, folds), [ngrams.COUNT])
 
     def prepare(fold: int):
-        return training.fold_vectors(table, folds, features.ESSAY_FEATURES, cells, meta.vocabularies, fold)
+        return training.fold_vectors(table, features.ESSAY_FEATURES, blocks, fold, ["essay_id", "score", "fold"])
 
     learners = [learner.with_rounds(2) for learner in (boosting.FIRST, boosting.SECOND)]
     result = training.cross_validate(prepare, range(5), learners, cap=200, selection_rounds=2, parallelism=5)
-    return essays, table, meta, result
+    return essays, table, blocks, result
 
 
 def cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,9 +347,8 @@ def cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essays scored by the stored vocabularies and models of all folds."""
-    essays, table, meta, result = _cross_validated(spark, sf_dir)
-    texts = essays.select("essay_id", "full_text")
-    per_fold = inference.score_per_fold(texts, table, features.ESSAY_FEATURES, meta.vocabularies, result.models)
+    essays, table, blocks, result = _cross_validated(spark, sf_dir)
+    per_fold = inference.score_per_fold(essays, table, features.ESSAY_FEATURES, blocks, result.models)
     return inference.final_scores(per_fold)
 
 

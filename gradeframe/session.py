@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
+_scratch_lock = threading.Lock()
 
 
 def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -37,8 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         return f"{configured.rstrip('/')}/gradeframe/{app_id}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if app_id not in _local_scratch:
-        _local_scratch[app_id] = tempfile.TemporaryDirectory(prefix="gradeframe-")
+    with _scratch_lock:
+        if app_id not in _local_scratch:
+            _local_scratch[app_id] = tempfile.TemporaryDirectory(prefix="gradeframe-")
     return f"file://{_local_scratch[app_id].name}"
 
 
@@ -58,7 +61,8 @@ def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition an input that has fewer splits than the cluster has cores.
 
-    Large inputs have far more splits than cores and pass through unshuffled.
+    Large inputs have far more splits than cores and pass through unshuffled. Meant for
+    plain scans, whose splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
