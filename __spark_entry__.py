@@ -348,7 +348,8 @@ def cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essays scored by the stored vocabularies and models of all folds."""
     essays, table, blocks, result = _cross_validated(spark, sf_dir)
-    per_fold = inference.score_per_fold(essays, table, features.ESSAY_FEATURES, blocks, result.models)
+    vocabularies = {block.vec: block.vocabulary for block in blocks}
+    per_fold = inference.score_per_fold(essays, table, features.ESSAY_FEATURES, vocabularies, result.models)
     return inference.final_scores(per_fold)
 
 

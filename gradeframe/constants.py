@@ -62,12 +62,12 @@ BLEND_WEIGHTS = (0.76, 0.24)
 # --- The two learners: shrinkage, depth, L1 and L2 leaf penalties, share of the
 # features offered to each tree, most rounds, seed.
 LEARNERS = {
-    "lgbm": dict(
+    "first": dict(
         learning_rate=0.05, max_depth=5, l1=2.0, l2=0.1, feature_share=0.3, max_rounds=700, seed=42
     ),
-    "xgb": dict(
+    "second": dict(
         learning_rate=0.1, max_depth=5, l1=1.0, l2=0.1, feature_share=0.5, max_rounds=1024, seed=42
     ),
 }
 # The stand-alone feature selection run uses these values instead.
-SELECTION_LEARNER = LEARNERS["lgbm"] | dict(l1=0.7, seed=412)
+SELECTION_LEARNER = LEARNERS["first"] | dict(l1=0.7, seed=412)
