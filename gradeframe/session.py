@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+SMALL_SPLITS = 64
+
 _local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 _scratch_lock = threading.Lock()
 
@@ -59,12 +61,13 @@ def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition an input that has fewer splits than the cluster has cores.
+    """Hash-partition a small input that has fewer splits than the cluster has cores.
 
-    Large inputs have far more splits than cores and pass through unshuffled. Meant for
-    plain scans, whose splits are known without running anything.
+    Anything over ``SMALL_SPLITS`` splits passes through unshuffled. Meant for plain
+    scans, whose splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores or splits > SMALL_SPLITS:
         return df
     return df.repartition(cores, key)
