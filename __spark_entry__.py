@@ -306,7 +306,7 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out kappa after every round, and the round that would be kept."""
     data = roles.boosting_rows(spark, sf_dir)
-    marked = data.join(splits.holdout_split(data.select("essay_id")), "essay_id")
+    marked = materialize(data.join(splits.holdout_split(data.select("essay_id")), "essay_id"))
     forest, rounds = boosting.fit_with_early_stopping(
         marked, boosting.SECOND.with_rounds(ROUNDS), len(roles.BOOSTING_FEATURES), patience=2
     )
