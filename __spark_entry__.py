@@ -31,6 +31,14 @@ from gradeframe.plans import inference, mart, training
 from gradeframe.session import materialize
 from gradeframe.sources import tables
 
+try:
+    import corpus_pipeline  # noqa: F401
+    from gradeframe.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "gradeframe.llm"):
+        raise
+    llm_queries = None
+
 # Rounds of the boosting queries. A round costs seconds of job overhead on any table.
 ROUNDS = 4
 TOP_WORDS = 1000
@@ -359,7 +367,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return (llm_queries.queries() if llm_queries else {}) | {
         "essay_scan": essay_scan,
         "vocab_scan": vocab_scan,
         "clean_text": _on_text(text.clean, "cleaned"),
@@ -413,4 +421,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    return oracle_queries.all_queries() | (llm_queries.oracle_sql() if llm_queries else {})
