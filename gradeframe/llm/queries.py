@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontamination, token_counts
+from gradeframe.llm import decontamination, language_id, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, categories = toxicity.document_labels(_table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), labels, categories)
+
+
+def _id_remainder(n: int):
+    """crc32 of the id as text, by which rows are held out; null ids are not held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, learn="pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) != 2")
+    held_out = F.coalesce(_id_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -59,6 +76,8 @@ FROM doc LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_toxicity": op3_toxicity,
+        "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
     }
 
