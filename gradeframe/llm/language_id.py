@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from gradeframe.llm.arrow_text import Texts, id_and_text, slices
 from gradeframe.session import materialize
 
-ROWS_PER_LANGUAGE = 1_000
-BUCKET_BITS = 14
+ROWS_PER_LANGUAGE = 500
+BUCKET_BITS = 13
 SCALE = 30.0
 
 # fixed values: families of languages by ISO 639-1 code; any other code is a family of its own
@@ -140,8 +140,9 @@ def fit(docs: DataFrame, learn: str = "true", rows_per_language: int = ROWS_PER_
         return SparseVector(1 << BUCKET_BITS, bucket, share)
 
     sample = training_rows(docs, learn, rows_per_language).withColumn("features", vector("bucket", "share"))
+    # a bounded table in few partitions: each iteration of a fit is one small job
     few = docs.sparkSession.sparkContext.defaultParallelism
-    rows = materialize(sample.select("lang", "features").coalesce(few))
+    rows = materialize(sample.select("lang", "features")).coalesce(few)
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
     for language in languages:
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, learn: str = "true", rows_per_language: int = ROWS_PER_
     for a, b, left, right in tasks:
         chosen = rows.filter(F.col("lang").isin(left + right))
         labelled = chosen.select("features", F.col("lang").isin(left).cast("double").alias("label"))
-        machine = LinearSVC(regParam=1e-4, maxIter=30, standardization=False).fit(labelled)
+        machine = LinearSVC(regParam=1e-4, maxIter=12, standardization=False).fit(labelled)
         machines.append(Machine(a, b))
         intercepts.append(machine.intercept)
         weights.append(np.append(machine.coefficients.toArray(), 0.0))

@@ -182,8 +182,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], limit:
     vocabulary = choose_words(sample, categories)
     words = pa.array(vocabulary, pa.large_binary())
     size = max(1, len(vocabulary))
-    # a bounded sample in a few partitions: each iteration of a fit is one small job
-    rows = materialize(_vectors(sample, words, categories).coalesce(spark.sparkContext.defaultParallelism))
+    # a bounded table in few partitions: each iteration of a fit is one small job
+    few = spark.sparkContext.defaultParallelism
+    rows = materialize(_vectors(sample, words, categories)).coalesce(few)
     links: list[Link] = []
     for i, category in enumerate(categories):
         earlier = categories[:i]
@@ -197,7 +198,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], limit:
         out_of_fold = parts[0]
         for part in parts[1:]:
             out_of_fold = out_of_fold.unionByName(part)
-        rows = materialize(out_of_fold)
+        rows = materialize(out_of_fold).coalesce(few)
     return Chain(words, links)
 
 
