@@ -1,4 +1,4 @@
-"""Toxicity by a classifier chain over word presence.
+"""Toxicity by a classifier chain over the presence of words.
 
 The categories are predicted one after another. Each link of the chain is a logistic
 regression over the words that a text holds, plus the probabilities of all earlier
@@ -8,8 +8,12 @@ After that each link is refitted on all training rows for prediction.
 
 Training reads at most ``TRAINING_ROWS`` labelled documents, chosen by a hash of the id;
 prediction reads every text whole. Words are runs of ASCII letters, digits and non-ASCII
-characters, lower-cased for A-Z. Of the words of the training rows the ``FEATURES`` with
-the largest chi-square over any category are used, so that a long text does not drown them.
+characters, lower-cased for A-Z; the first bytes of a longer word (``HEADS``) are features
+too, for inflected words. Copies are trained on once, or the labels of one text
+would look like a rule: of rows that share one of their ``SKETCH`` smallest hashed word triples the
+one with the smallest id stays. Of the features of the training rows only those with a
+chi-square of ``MIN_CHI2`` or more over some category are used, at most ``FEATURES``, so
+that neither chance nor the length of a text drowns the words that matter.
 
 Null and empty texts hold no word and get the model's prior. Rows with a null label or a
 null id are not trained on. If an id has several label rows, a category holds if any row says
@@ -19,6 +23,7 @@ training row every probability is 0. Repeated rows of ``docs`` each get a result
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -30,13 +35,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeframe.llm.arrow_text import LOWER, Texts, distinct_words, find_words, id_and_text, slices
+from gradeframe.llm.arrow_text import (
+    LOWER,
+    Texts,
+    binary_array,
+    distinct_words,
+    find_words,
+    gather,
+    id_and_text,
+    slices,
+    texts_of,
+)
 from gradeframe.session import materialize
 
 TRAINING_ROWS = 20_000
 FEATURES = 2_048
 FOLDS = 3
-MIN_DOCS = 2
+MIN_DOCS = 5
+#: Far beyond what chance gives among the words of ``TRAINING_ROWS`` documents.
+MIN_CHI2 = 40.0
+SKETCH = 3
+#: Bytes of the heads of words, and the mark of a head, which no word holds.
+HEADS = (4, 6, 8)
+HEAD = b"^"
 THRESHOLD = 0.5
 
 #: Bytes between words: white space and ASCII punctuation.
@@ -64,16 +85,35 @@ def _words(texts: Texts):
     return words, *distinct_words(lowered, words, SEPARATOR)
 
 
-def _presence(texts: Texts, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text and vocabulary number of every word that a text holds, once each."""
+def _features(texts: Texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct features of all texts; text and feature of every one that a text holds, once each."""
     words, dictionary, codes = _words(texts)
-    if not len(codes) or not len(vocabulary):
+    spelled = texts_of(dictionary)
+    found, owner, feature = [dictionary.cast(pa.large_binary())], words.text_of, codes
+    owners, features = [owner], [feature]
+    total = len(dictionary)
+    for size in HEADS:
+        longer = np.flatnonzero(spelled.lengths > size)
+        starts = spelled.offsets[:-1][longer]
+        heads = binary_array(*gather(spelled.data, starts, starts + size)).dictionary_encode()
+        head_of = np.full(len(dictionary), -1, dtype=np.int64)
+        head_of[longer] = heads.indices.to_numpy() + total
+        found.append(pa.array([HEAD + h for h in heads.dictionary.to_pylist()], pa.large_binary()))
+        total += len(heads.dictionary)
+        head = head_of[codes]
+        owners.append(owner[head >= 0])
+        features.append(head[head >= 0])
+    held = np.unique(np.concatenate(owners) * max(1, total) + np.concatenate(features))
+    return pa.concat_arrays(found), held // max(1, total), held % max(1, total)
+
+
+def _presence(texts: Texts, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text and vocabulary number of every feature that a text holds, once each."""
+    if not len(vocabulary):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = pc.index_in(dictionary, vocabulary).fill_null(-1).to_numpy()[codes]
-    used = np.flatnonzero(known >= 0)
-    owner = np.searchsorted(words.text_offsets, used, side="right") - 1
-    pairs = np.unique(owner * len(vocabulary) + known[used])
-    return pairs // len(vocabulary), pairs % len(vocabulary)
+    distinct, owner, feature = _features(texts)
+    known = pc.index_in(distinct, vocabulary).fill_null(-1).to_numpy()[feature]
+    return owner[known >= 0], known[known >= 0]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], limit: int = TRAINING_ROWS) -> DataFrame:
@@ -87,6 +127,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], lim
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", fold, *categories)
 
 
+def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit finalizer of a multiplicative hash."""
+    values = (values + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(32))
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """One row of those that share a least hash of their word triples."""
+    names = [f"sketch_{i}" for i in range(SKETCH)]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
+
+    def run(batches):
+        for part, texts in slices(batches):
+            words, dictionary, codes = _words(texts)
+            word = np.array([zlib.crc32(w.as_buffer()) for w in dictionary], dtype=np.uint64)
+            word = word[codes] if len(codes) else np.zeros(0, np.uint64)
+            columns = {c: part.column(c) for c in part.schema.names}
+            for i, name in enumerate(names):
+                least = []
+                for a, b in zip(words.text_offsets, words.text_offsets[1:]):
+                    own = word[a:b]
+                    triple = _mixed(_mixed(own[:-2], i) + own[1:-1], i) + own[2:] if len(own) > 2 else own[:1]
+                    least.append(int(_mixed(triple, i).min() >> np.uint64(1)) if len(triple) else 0)
+                columns[name] = pa.array(least, pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kept = rows.mapInArrow(run, schema)
+    for name in names:  # the sample is bounded, so are these groups
+        others = [c for c in kept.columns if c not in (name, "doc_id")]
+        first = F.min(F.struct("doc_id", *others)).alias("first")
+        kept = kept.groupBy(name).agg(first).select(name, "first.*")
+    return kept.select(*rows.columns)
+
+
 def _word_counts(rows: DataFrame, categories: list[str]) -> DataFrame:
     """Rows that hold a word, in all and per category."""
     schema = T.StructType(
@@ -96,10 +171,7 @@ def _word_counts(rows: DataFrame, categories: list[str]) -> DataFrame:
 
     def run(batches):
         for part, texts in slices(batches):
-            words, dictionary, codes = _words(texts)
-            size = max(1, len(dictionary))
-            pairs = np.unique(words.text_of * size + codes)
-            owner, word = pairs // size, pairs % size
+            dictionary, owner, word = _features(texts)
             columns = {"word": dictionary, "n": np.bincount(word, minlength=len(dictionary))}
             for c in categories:
                 label = part.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
@@ -122,7 +194,8 @@ def choose_words(rows: DataFrame, categories: list[str], features: int = FEATURE
         spread = expected * (n - positive) / n * (n - F.col("n")) / n
         scores.append(F.coalesce(F.try_divide(F.pow(F.col(f"n_{c}") - expected, 2), spread), F.lit(0.0)))
     score = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    top = _word_counts(rows, categories).withColumn("score", score).orderBy(F.desc("score"), "word").limit(features)
+    strong = _word_counts(rows, categories).withColumn("score", score).filter(F.col("score") >= MIN_CHI2)
+    top = strong.orderBy(F.desc("score"), "word").limit(features)
     return sorted(bytes(r["word"]) for r in top.select("word").collect())
 
 
@@ -159,7 +232,7 @@ def _fit(rows: DataFrame, category: str, size: int, earlier: list[str]) -> Link:
         constant = 50.0 if values and 1 in values else -50.0
         return Link(category, constant, np.zeros(size), np.zeros(len(earlier)))
     learner = LogisticRegression(
-        featuresCol="features", labelCol=category, regParam=0.002, elasticNetParam=0.0, standardization=False, maxIter=40
+        featuresCol="features", labelCol=category, regParam=0.0003, elasticNetParam=0.0, standardization=False, maxIter=40
     )
     model = learner.fit(_assembled(rows, size, earlier).select("features", F.col(category).cast("double")))
     weights = model.coefficients.toArray()
@@ -178,7 +251,7 @@ def _with_probability(rows: DataFrame, link: Link, earlier: list[str]) -> DataFr
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], limit: int = TRAINING_ROWS) -> Chain:
     """Fit the links in the order of ``categories``, columns of ``labels`` that hold 0 or 1."""
     spark = docs.sparkSession
-    sample = materialize(training_rows(docs, labels, categories, limit))
+    sample = materialize(without_copies(training_rows(docs, labels, categories, limit)))
     vocabulary = choose_words(sample, categories)
     words = pa.array(vocabulary, pa.large_binary())
     size = max(1, len(vocabulary))
