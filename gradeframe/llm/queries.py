@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontamination, language_id, nearest, packing, simhash, token_counts, toxicity
+from gradeframe.llm import decontamination, language_id, nearest, packing, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, categories = toxicity.document_labels(_table(spark, sf_dir, "labels"))
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), labels, categories)
@@ -88,6 +92,7 @@ FROM doc LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_secrets": op2_secrets,
         "op3_toxicity": op3_toxicity,
         "op5_nearest": op5_nearest,
         "op6_simhash": op6_simhash,
