@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontamination, language_id, nearest, packing, secrets, simhash, token_counts, toxicity
+from gradeframe.llm import decontamination, language_id, lm_scoring, nearest, packing, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _id_remainder(n: int):
+    """crc32 of the id as text, by which rows are held out; null ids are not held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -33,6 +38,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), labels, categories)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, learn="pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) != 0")
+    return scored.withColumn("held_out", F.coalesce(_id_remainder(10) == 0, F.lit(False)))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -41,11 +52,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
-def _id_remainder(n: int):
-    """crc32 of the id as text, by which rows are held out; null ids are not held out."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, learn="pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) != 2")
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_secrets": op2_secrets,
         "op3_toxicity": op3_toxicity,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_nearest": op5_nearest,
         "op6_simhash": op6_simhash,
         "op8_language_id": op8_language_id,
