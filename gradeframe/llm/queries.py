@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontamination, language_id, lm_scoring, nearest, packing, secrets, simhash, token_counts, toxicity
+from gradeframe.llm import decontamination, language_id, lm_scoring, nearest, packing, repeats, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, learn="pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) != 2")
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scoring": op4_lm_scoring,
         "op5_nearest": op5_nearest,
         "op6_simhash": op6_simhash,
+        "op7_repeats": op7_repeats,
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
