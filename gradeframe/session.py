@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import threading
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -47,6 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_scratch[app_id].name}"
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package where it is not installed.
+
+    On a cluster the package is sent with ``--py-files`` or installed.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
