@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import decontamination, language_id, lm_scoring, nearest, packing, repeats, secrets, simhash, token_counts, toxicity
+from gradeframe.llm import (
+    decontamination,
+    language_id,
+    lm_scoring,
+    nearest,
+    packing,
+    repeats,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+)
+from gradeframe.session import share_code
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,8 +111,18 @@ FROM doc LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _shared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    import corpus_pipeline
+
+    found = {
         "op1_token_counts": op1_token_counts,
         "op2_secrets": op2_secrets,
         "op3_toxicity": op3_toxicity,
@@ -111,7 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
+    return {name: _shared(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
