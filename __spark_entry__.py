@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import fixture_roles as roles
 import oracle_queries
+from gradeframe.constants import N_FOLDS, SELECTION_FOLD_SEED
 from gradeframe.functions import scoring, text
 from gradeframe.operators import (
     boosting,
@@ -39,8 +40,12 @@ except ModuleNotFoundError as missing:
         raise
     llm_queries = None
 
-# Rounds of the boosting queries. A round costs seconds of job overhead on any table.
+# Rounds of the boosting queries, the one setting that is smaller than in production
+# (hundreds): a round costs seconds of job overhead on any table. All rows, folds, features and learners are used.
 ROUNDS = 4
+FEW_ROUNDS = 2
+#: Rounds without a rise after which a fit stops.
+QUERY_PATIENCE = 2
 TOP_WORDS = 1000
 
 
@@ -316,19 +321,45 @@ def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = roles.boosting_rows(spark, sf_dir)
     marked = materialize(data.join(splits.holdout_split(data.select("essay_id")), "essay_id"))
     forest, rounds = boosting.fit_with_early_stopping(
-        marked, boosting.SECOND.with_rounds(ROUNDS), len(roles.BOOSTING_FEATURES), patience=2
+        marked, boosting.SECOND.with_rounds(ROUNDS), len(roles.BOOSTING_FEATURES), QUERY_PATIENCE
     )
     rows = [(i, kappa, i == rounds) for i, kappa in enumerate(forest.kappas, 1)]
     return spark.createDataFrame(rows, "round int, qwk double, best boolean")
 
 
+def boosting_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions after one round of one split, with class weights and both penalties."""
+    learner = boosting.Learner("first", 0.5, 1, 2.0, 0.1, 1.0, 1, 42)
+    data = roles.boosting_rows(spark, sf_dir, roles.STEP_FEATURES)
+    forest = boosting.fit(data, learner, len(roles.STEP_FEATURES))
+    return _rounded(boosting.predict(data, forest).select("essay_id", "pred"), "pred")
+
+
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blend of two fixed forests."""
+    scored = training.blended(roles.boosting_rows(spark, sf_dir), roles.fixed_forests())
+    return _rounded(scored.select("essay_id", "y_pred"), "y_pred")
+
+
+def best_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kappa per round, and the round that early stopping keeps."""
+    cells = metrics.confusion_matrix(roles.round_predictions(spark, sf_dir, rounds=6), by=["round"])
+    counts: dict[int, dict] = {}
+    for row in cells.collect():  # labels squared, per round
+        counts.setdefault(row["round"], {})[row["y"], row["p"]] = row["n"]
+    kappas = [boosting.kappa_of_counts(counts[i]) for i in sorted(counts)]
+    kept = boosting.best_rounds(boosting.Forest("first", [], kappas))
+    rows = [(i, kappa, i == kept) for i, kappa in enumerate(kappas, 1)]
+    return _rounded(spark.createDataFrame(rows, "round int, qwk double, best boolean"), "qwk")
+
+
 def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-alone selection run: split counts summed over folds."""
     data = roles.boosting_rows(spark, sf_dir)
-    folds = splits.stratified_folds(data.select("essay_id", "score"), k=3, seed=0)
+    folds = splits.stratified_folds(data.select("essay_id", "score"), seed=SELECTION_FOLD_SEED)
     marked = materialize(data.join(folds.select("essay_id", "fold"), "essay_id"))
     importances, _ = training.selection_run(
-        marked, roles.BOOSTING_FEATURES, range(3), boosting.SELECTION.with_rounds(2)
+        marked, roles.BOOSTING_FEATURES, range(N_FOLDS), boosting.SELECTION.with_rounds(FEW_ROUNDS)
     )
     return selection.top_features(importances)
 
@@ -343,7 +374,7 @@ def _cross_validated(spark: SparkSession, sf_dir: str):
     def prepare(fold: int):
         return training.fold_vectors(table, features.ESSAY_FEATURES, blocks, fold, ["essay_id", "score", "fold"])
 
-    learners = [learner.with_rounds(2) for learner in (boosting.FIRST, boosting.SECOND)]
+    learners = [learner.with_rounds(FEW_ROUNDS) for learner in (boosting.FIRST, boosting.SECOND)]
     result = training.cross_validate(prepare, range(5), learners, cap=200, selection_rounds=2, parallelism=5)
     return essays, table, blocks, result
 
@@ -412,6 +443,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "submission": submission,
         "feature_topk": feature_topk,
         "feature_topk_cv": feature_topk_cv,
+        "boosting_step": boosting_step,
+        "forest_scores": forest_scores,
+        "best_round": best_round,
         "boosted_scores": boosted_scores,
         "early_stopping": early_stopping,
         "boosted_importance": boosted_importance,

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.functions import scoring, text
-from gradeframe.operators import ensemble, vectors
-from gradeframe.session import spread
+from gradeframe.operators import boosting, ensemble, vectors
 from gradeframe.sources import tables
 
 # ``documents`` has no blank lines, so its paragraphs are its lines.
@@ -18,6 +17,8 @@ SEPARATOR = "\n"
 N_MODELS = 4
 N_CLASSES = 6
 BOOSTING_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice"]
+#: Few distinct values each, so every threshold between them is tried.
+STEP_FEATURES = ["l_linenumber", "l_discount"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` scored 1 to 6 by their length."""
-    return spread(_documents(spark, sf_dir), "essay_id")
+    return _documents(spark, sf_dir)
 
 
 def essay_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_id() -> list:
-    return [F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("essay_id")]
+    quantity = F.col("l_quantity").cast("int")  # two lines of the smallest table differ in it alone
+    return [F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity).alias("essay_id")]
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +110,34 @@ def model_probabilities(spark: SparkSession, sf_dir: str, n_models: int = N_MODE
     return ensemble.softmax_probs(logits)
 
 
-def boosting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boosting_rows(spark: SparkSession, sf_dir: str, names: list[str] = BOOSTING_FEATURES) -> DataFrame:
     """``(essay_id, score, features)``: a small learnable problem on ``lineitem``."""
     rows = _read(spark, sf_dir, "lineitem").select(
         *_line_id(),
         scoring.clip_round(F.col("l_quantity") / 9).alias("score"),
-        *[F.col(c).cast("double").alias(c) for c in BOOSTING_FEATURES],
+        *[F.col(c).cast("double").alias(c) for c in names],
     )
-    return vectors.sparse_vectors(rows, BOOSTING_FEATURES, None, {}, ["essay_id", "score"])
+    return vectors.sparse_vectors(rows, names, None, {}, ["essay_id", "score"])
+
+
+def round_predictions(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    """``(round, y, p)``: predictions that come nearer to the truth up to the third round."""
+    off = (F.col("round") - 3) * (F.col("round") - 3) * F.pmod("l_orderkey", F.lit(3)) / 3
+    return (
+        _read(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_quantity", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+        .select(
+            "round",
+            scoring.clip_round(F.col("l_quantity") / 9).alias("y"),
+            scoring.clip_round(F.col("l_quantity") / 9 + off).alias("p"),
+        )
+    )
+
+
+def fixed_forests() -> list[boosting.Forest]:
+    """Two small forests over ``BOOSTING_FEATURES``, as loaded from a store."""
+    node = boosting.Node
+    first = [node(1, 20.0, 1, 2), node(value=-0.5), node(0, 3.0, 3, 4), node(value=0.25), node(value=0.75)]
+    second = [node(2, 30000.0, 1, 2), node(value=0.125), node(value=-0.25)]
+    third = [node(1, 35.5, 1, 2), node(value=-1.0), node(value=1.5)]
+    return [boosting.Forest("first", [first, second]), boosting.Forest("second", [third])]

@@ -1,4 +1,4 @@
-"""Session helpers: the shared scratch folder, written tables, input spread."""
+"""Session helpers: the shared scratch folder, written tables, code for workers."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ import os
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-SMALL_SPLITS = 64
-
 _local_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 _scratch_lock = threading.Lock()
 
@@ -61,27 +61,55 @@ def share_code(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+_scopes = threading.local()
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables stored inside on leaving, also after a failure.
+
+    Tables stored with ``keep`` go to the enclosing scope, if there is one. What is read from the
+    others must have been computed before the end.
+    """
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = []
+    kept_before = getattr(_scopes, "kept", None)
+    _scopes.kept = []
+    try:
+        yield
+    finally:
+        done, kept = _scopes.paths, _scopes.kept
+        _scopes.paths, _scopes.kept = outer, kept_before
+        if outer is not None:
+            outer.extend(kept)
+        for path in done:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    _delete(table.sparkSession, table.stored_at)
+
+
+def materialize(df: DataFrame, schema: StructType | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
     This cuts lineage in a way that survives executor loss, and gives the planner
     the stored size, so that it broadcasts the table only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``. Inside ``stored_tables`` the table is
+    deleted at the end, unless it is to be kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    paths = getattr(_scopes, "kept" if keep else "paths", None)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input that has fewer splits than the cluster has cores.
-
-    Anything over ``SMALL_SPLITS`` splits passes through unshuffled. Meant for plain
-    scans, whose splits are known without running anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= cores or splits > SMALL_SPLITS:
-        return df
-    return df.repartition(cores, key)
+    table = spark.read.schema(schema or df.schema).parquet(path)
+    table.stored_at = path
+    return table

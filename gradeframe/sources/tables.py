@@ -33,8 +33,9 @@ def with_paragraphs(essays: DataFrame, separator: str = PARAGRAPH_SEPARATOR) ->
 
 
 def distinct_words(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Trimmed, lowercased, distinct words of a one-word-per-row column."""
-    word: Column = F.lower(F.trim(F.regexp_replace(column, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " ")))
+    """Trimmed, lowercased, distinct words of a one-word-per-row column; blanks inside stay."""
+    blank = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+    word: Column = F.lower(F.regexp_replace(column, f"^{blank}|{blank}$", ""))
     return lines.select(word.alias("word")).distinct()
 
 
@@ -47,8 +48,10 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROBABILITY_SCHEMA).parquet(path)
 
 
-def attach_probabilities(features: DataFrame, probabilities: DataFrame, n_classes: int = 6) -> DataFrame:
-    """Add one column per class, matched by ``essay_id``."""
+def attach_probabilities(features: DataFrame, probabilities: DataFrame, n_classes: int | None = None) -> DataFrame:
+    """Add one column per class, matched by ``essay_id``; the longest array tells their number."""
+    if n_classes is None:
+        n_classes = probabilities.agg(F.coalesce(F.max(F.size("probs")), F.lit(0))).first()[0]
     columns = [F.get("probs", F.lit(i)).alias(f"prob_{i}") for i in range(n_classes)]
     return features.join(probabilities.select("essay_id", *columns), "essay_id", "left")
 

@@ -203,7 +203,7 @@ DIGEST = """count(*) AS n_terms, CAST(sum(term_idx) AS BIGINT) AS idx_sum, round
 TFIDF_RUNS, COUNT_RUNS = _runs(3, 6, "t"), _runs(2, 3, "c")
 CELL_COLUMNS = "c.fold, c.essay_id, c.vectorizer, c.term_idx, c.value"
 
-_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS essay_id"
+_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS essay_id"
 PAIRS = f"""pairs AS (
   SELECT {_LINE_ID}, CAST(l_orderkey % 5 AS INTEGER) AS fold, least(6, l_linenumber) AS y,
          1 + l_quantity / 9 AS raw,
@@ -268,6 +268,29 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+# One round of one split. At the start every prediction is the centre, so the gradient
+# of a row is its distance from it by half the variance.
+_BOOSTING_STEP = f"""rows AS (
+  SELECT {_LINE_ID}, l_linenumber::DOUBLE AS f0, l_discount::DOUBLE AS f1,
+         least(6, greatest(1, round_even(l_quantity / 9, 0)))::INTEGER AS score FROM lineitem),
+weights AS (
+  SELECT score, (SELECT count(*) FROM rows) / ((SELECT count(DISTINCT score) FROM rows) * count(*)) AS w
+  FROM rows GROUP BY score),
+data AS (SELECT r.*, w, (2.998 - r.score) / (0.5 * 1.092) AS g FROM rows r JOIN weights USING (score)),
+long AS (SELECT 0 AS f, f0 AS v, g, w FROM data UNION ALL SELECT 1, f1, g, w FROM data),
+cells AS (SELECT f, v, sum(g * w) AS gw, sum(w) AS w FROM long GROUP BY f, v),
+cuts AS (
+  SELECT f, (v + lead(v) OVER o) / 2 AS cut, sum(gw) OVER o AS lg, sum(w) OVER o AS lw,
+         sum(gw) OVER (PARTITION BY f) AS tg, sum(w) OVER (PARTITION BY f) AS tw
+  FROM cells WINDOW o AS (PARTITION BY f ORDER BY v)),
+best AS (
+  SELECT * FROM cuts WHERE cut IS NOT NULL
+  ORDER BY lg * lg / lw + (tg - lg) * (tg - lg) / (tw - lw) DESC LIMIT 1),
+leaf AS (
+  SELECT f, cut, -0.5 * sign(lg) * greatest(abs(lg) - 2.0, 0) / (lw + 0.1) AS l,
+         -0.5 * sign(tg - lg) * greatest(abs(tg - lg) - 2.0, 0) / (tw - lw + 0.1) AS r FROM best)"""
+
+
 def all_queries() -> dict[str, str]:
     text_ctes = (ESSAYS, WORD_LIST, PARAGRAPHS, ERRORS)
     tfidf_folds = (ESSAYS, FOLDS, TFIDF_RUNS, _vocabulary("t", 0.05, 0.95, True))
@@ -337,6 +360,20 @@ FROM (SELECT {CELL_COLUMNS}, f.fold = c.fold AS held_out
 GROUP BY ALL""",
         "confusion_matrix": _with(PAIRS) + "SELECT y, p, count(*) AS n FROM pairs GROUP BY ALL",
         "qwk": _with(PAIRS) + f"SELECT round(qwk, 6) AS qwk FROM ({_kappa('pairs', None)})",
+        "boosting_step": _with(_BOOSTING_STEP)
+        + "SELECT essay_id, round(CASE WHEN CASE f WHEN 0 THEN f0 ELSE f1 END <= cut THEN l ELSE r END, 6) AS pred FROM data, leaf",
+        "forest_scores": f"""SELECT {_LINE_ID}, round(2.998
+  + 0.76 * (CASE WHEN l_quantity <= 20 THEN -0.5 WHEN l_linenumber <= 3 THEN 0.25 ELSE 0.75 END
+            + CASE WHEN l_extendedprice <= 30000 THEN 0.125 ELSE -0.25 END)
+  + 0.24 * CASE WHEN l_quantity <= 35.5 THEN -1.0 ELSE 1.5 END, 6)::DOUBLE AS y_pred FROM lineitem""",
+        "best_round": f"""WITH steps AS (SELECT unnest(range(1, 7)) AS round),
+pairs AS (
+  SELECT s.round AS fold, least(6, greatest(1, round_even(l_quantity / 9, 0)))::INTEGER AS y,
+         least(6, greatest(1, round_even(l_quantity / 9 + (s.round - 3) * (s.round - 3) * (l_orderkey % 3) / 3, 0)))::INTEGER AS p
+  FROM lineitem, steps s),
+k AS ({_kappa('pairs', 'fold')})
+SELECT fold::INTEGER AS round, round(qwk, 6) AS qwk,
+  fold = (SELECT fold FROM k ORDER BY qwk DESC, fold LIMIT 1) AS best FROM k""",
         "qwk_moment": _with(PAIRS)
         + """SELECT round(1 - avg((y - p) * (y - p)) / (var_pop(y) + var_pop(p) + (avg(y) - avg(p)) * (avg(y) - avg(p))), 6)
   AS qwk FROM pairs""",

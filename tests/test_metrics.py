@@ -100,8 +100,10 @@ def test_softmax_and_probability_mean(spark):
     )
     probs = ensemble.softmax_probs(df)
     assert all(math.isclose(sum(r["probs"]), 1.0) for r in probs.collect())
-    mean = {r["essay_id"]: r["probs"] for r in ensemble.prob_ensemble(probs, n_classes=3).collect()}
+    mean = {r["essay_id"]: r["probs"] for r in ensemble.prob_ensemble(probs).collect()}
     assert [round(v, 9) for v in mean[1]] == [round(v, 9) for v in (1 / 6, 1 / 6, 2 / 3)]
+    eight = spark.createDataFrame([(1, [0.125] * 8)], "essay_id int, probs array<double>")
+    assert ensemble.prob_ensemble(eight).first()["probs"] == [0.125] * 8
 
 
 def test_blend_and_submission(spark):

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import pytest
 
 from gradeframe.operators import splits
-from gradeframe.session import materialize, shared_dir, spread
+from gradeframe.session import materialize, release, shared_dir, stored_tables
 from gradeframe.sources import tables
 
 
@@ -22,8 +24,8 @@ def test_unscored_essays(spark, tmp_path):
 
 def test_vocabulary_is_trimmed_lowercased_and_distinct(spark, tmp_path):
     path = tmp_path / "words.txt"
-    path.write_text(" Apple\napple\npear \n\n")
-    assert {r["word"] for r in tables.read_vocabulary(spark, str(path)).collect()} == {"apple", "pear", ""}
+    path.write_text(" Apple\napple\npear \n\na\t  b \n")
+    assert {r["word"] for r in tables.read_vocabulary(spark, str(path)).collect()} == {"apple", "pear", "", "a\t  b"}
 
 
 def test_probabilities_join_by_id(spark, tmp_path):
@@ -32,7 +34,7 @@ def test_probabilities_join_by_id(spark, tmp_path):
         spark.createDataFrame([("b", [0.1, 0.9]), ("a", [0.7, 0.3])], "essay_id string, probs array<double>"), path
     )
     features = spark.createDataFrame([("a",), ("b",), ("c",)], "essay_id string")
-    joined = tables.attach_probabilities(features, tables.read_probabilities(spark, path), n_classes=2)
+    joined = tables.attach_probabilities(features, tables.read_probabilities(spark, path))
     rows = {r["essay_id"]: (r["prob_0"], r["prob_1"]) for r in joined.collect()}
     assert rows == {"a": (0.7, 0.3), "b": (0.1, 0.9), "c": (None, None)}
 
@@ -82,8 +84,21 @@ def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
     assert shared_dir(Session()) == "hdfs://x/checkpoints/gradeframe/app"
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    many = spark.range(0, 100, 1, 64).withColumnRenamed("id", "essay_id")
-    few = spark.range(0, 100, 1, 1).withColumnRenamed("id", "essay_id")
-    assert spread(many, "essay_id") is many
-    assert spread(few, "essay_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def stored(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    before = stored(spark)
+    with pytest.raises(ZeroDivisionError), stored_tables(spark):
+        materialize(spark.range(3))
+        with stored_tables(spark):
+            kept = materialize(spark.range(4), keep=True)
+            materialize(spark.range(5))
+        assert kept.count() == 4 and len(stored(spark) - before) == 2
+        1 / 0
+    assert stored(spark) == before
+    table = materialize(spark.range(2))
+    release(table)
+    assert stored(spark) == before
