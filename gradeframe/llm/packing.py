@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeframe.llm.arrow_text import BLANK, Texts, distinct_words, find_words, id_and_text, slices
+from gradeframe.llm.arrow_text import BLANK, LOWER, Texts, Words, distinct_words, find_words, id_and_text, slices
 from gradeframe.session import materialize
 
 CAPACITY = 4_096
@@ -36,30 +36,79 @@ END_ID = 1
 #: Pieces packed by one task, some 2 MB.
 PART_PIECES = 32_768
 MAX_ROUNDS = 8
-#: Words whose ids a worker process keeps, some 100 MB.
-KEPT_WORDS = 200_000
+#: Word parts whose ids a worker process keeps, some 100 MB.
+KEPT_WORDS = 500_000
 
+#: Kinds of ASCII characters that the tokenizer never joins; non-ASCII letters go with letters.
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.full(256, SIGN, dtype=np.uint8)
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+UNSAFE = np.zeros(256, dtype=bool)
+UNSAFE[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F, *range(0x80, 0x100), *b"'<|>"]] = True
+
+
+def _unsafe_bytes(data: np.ndarray) -> np.ndarray:
+    """Bytes that may join with what stands beside them: marks, quotes, most non-ASCII characters."""
+    unsafe = UNSAFE[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # Latin letters, without the signs of times and division
+    unsafe[lead] = unsafe[lead + 1] = False
+    return unsafe
 
-class WordIds:
-    """Ids of words; a word is tokenized the first time it is seen.
 
-    The tokenizer drops white space and never joins characters across it, so the ids
-    of a text are those of its words.
+def split_words(texts: Texts) -> tuple[Texts, Words]:
+    """Parts that the tokenizer encodes one by one, whatever stands beside them.
+
+    It never joins characters across white space, nor letters, digits and other
+    characters with each other, and it takes digits singly. A word with an unsafe byte
+    stays whole; in others A-Z are lower-cased, as the tokenizer does.
     """
+    words = find_words(texts, BLANK)
+    marks = np.concatenate([[0], np.cumsum(_unsafe_bytes(texts.data))])
+    safe = marks[words.ends] == marks[words.starts]
+    change = np.zeros(len(texts.data) + 1, dtype=np.int8)
+    change[words.starts[safe]] += 1
+    change[words.ends[safe]] -= 1
+    inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    kind = KIND[texts.data]
+    opens = np.zeros(len(texts.data), dtype=bool)
+    opens[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    opens[words.starts] = True
+    starts = np.flatnonzero(opens)
+    following = np.append(starts[1:], len(texts.data))
+    word = np.searchsorted(words.starts, starts, side="right") - 1
+    ends = np.minimum(following, words.ends[word]) if len(starts) else starts
+    data = np.where(inside, LOWER[texts.data], texts.data)
+    return Texts(data, texts.offsets), Words(starts, ends, np.searchsorted(starts, texts.offsets))
+
+
+class WordIds:
+    """Ids of word parts; a part is tokenized the first time it is seen."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, dtype="<u4")) for w, e in zip(new, encoded))
-        return [self.known[w] for w in words]
+        self._forget()
+
+    def _forget(self):
+        self.number: dict[bytes, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        """Numbers of the parts; part ``n`` has the ids from ``ends[n]`` up to ``ends[n + 1]``."""
+        if len(self.number) > KEPT_WORDS:
+            self._forget()
+        new = [p for p in parts if p not in self.number]
+        if new:
+            encoding = self.tokenizer.encode([p.decode("utf-8") for p in new], is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(encoding.word_ids, dtype=np.int64), minlength=len(new))
+            self.ids = np.concatenate([self.ids, np.array(encoding.ids, dtype="<u4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        return np.array([self.number[p] for p in parts], dtype=np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -69,21 +118,19 @@ def _word_ids(path: str) -> WordIds:
 
 def document_ids(texts: Texts, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with the end id, and the offsets of the texts."""
-    words = find_words(texts, BLANK)
-    distinct, codes = distinct_words(texts, words, BLANK)
-    ids = _word_ids(path).of(distinct.to_pylist())
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    firsts = np.cumsum(sizes) - sizes
-    flat = np.concatenate([*ids, np.zeros(0, "<u4")])
-    per_word = sizes[codes] if len(codes) else np.zeros(0, np.int64)
-    before = np.cumsum(per_word) - per_word
-    index = np.arange(per_word.sum()) + np.repeat((firsts[codes] if len(codes) else before) - before, per_word)
-    totals = np.concatenate([[0], np.cumsum(per_word)])[words.text_offsets]
+    lowered, parts = split_words(texts)
+    distinct, codes = distinct_words(lowered, parts, BLANK)
+    known = _word_ids(path)
+    numbers = known.of(distinct.to_pylist())[codes]
+    sizes = np.diff(known.ends)[numbers]
+    before = np.cumsum(sizes) - sizes
+    index = np.arange(sizes.sum()) + np.repeat(known.ends[numbers] - before, sizes)
+    totals = np.concatenate([[0], np.cumsum(sizes)])[parts.text_offsets]
     offsets = totals + np.arange(len(totals))
     out = np.full(offsets[-1], END_ID, dtype="<u4")
     word_place = np.ones(len(out), dtype=bool)
     word_place[offsets[1:] - 1] = False
-    out[word_place] = flat[index]
+    out[word_place] = known.ids[index]
     return out, offsets
 
 
