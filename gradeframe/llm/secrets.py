@@ -120,9 +120,16 @@ def train(samples: DataFrame) -> list[float]:
         seen[row["secret"], row["pair"][0]] = seen.get((row["secret"], row["pair"][0]), 0) + row["n"]
     of_pair = {(r["secret"], r["pair"]): r["n"] for r in counts}
 
+    of_second: dict[tuple[bool, str], int] = {}
+    for row in counts:
+        of_second[row["secret"], row["pair"][1]] = of_second.get((row["secret"], row["pair"][1]), 0) + row["n"]
+    totals = {label: sum(n for (s, _), n in of_second.items() if s == label) for label in (True, False)}
+
     def log_probability(secret: bool, pair: str) -> float:
+        """After a character that the label never shows, its characters by themselves count."""
         total = seen.get((secret, pair[0]), 0)
-        share = of_pair.get((secret, pair), 0) / total if total else 1 / ALPHABET
+        part, whole = (of_pair.get((secret, pair), 0), total) if total else (of_second.get((secret, pair[1]), 0), totals[secret])
+        share = part / whole
         uniform = UNIFORM[secret]
         return math.log((1 - uniform) * share + uniform / ALPHABET)
 
@@ -136,11 +143,15 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_likelihood_ratio(value: Column, ratios: list[float]) -> Column:
-    """Sum over the character pairs of ``value``, which is ASCII."""
+    """Sum over the distinct character pairs of ``value``, which is ASCII.
+
+    A pair counts once, so that a ruled line or another periodic run is no evidence.
+    """
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     places = F.sequence(F.lit(1), F.greatest(F.char_length(value) - 1, F.lit(1)))
-    code = lambda i: F.ascii(F.substring(value, i, F.lit(1)))
-    return F.aggregate(places, F.lit(0.0), lambda s, i: s + F.element_at(table, code(i) * 128 + code(i + 1) + 1))
+    pairs = F.array_distinct(F.transform(places, lambda i: F.substring(value, i, F.lit(2))))
+    second = lambda pair: F.ascii(F.substring(pair, 2, 1))
+    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, F.ascii(p) * 128 + second(p) + 1))
 
 
 def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
