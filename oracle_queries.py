@@ -6,6 +6,8 @@ one global numbering and every fold is fitted on its own.
 
 from __future__ import annotations
 
+# Thresholds and patterns that both sides must share, written out again
+# here so that a twin does not read the code it checks.
 PARAGRAPH_GE = [0, 50, 75, 100, 125, 150, 175, 200, 250, 300, 350, 400, 500, 600, 700]
 PARAGRAPH_LE = [25, 49]
 SENTENCE_GE = [0, 15, 50, 100, 150, 200, 250, 300]

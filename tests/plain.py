@@ -6,6 +6,9 @@ import string
 from collections import Counter
 
 
+# The patterns below must equal those of the library.
+
+
 def clean(text):
     text = text.lower()
     for pattern in (r"<.*?>", r"@\w+", r"'\d+", r"\d+", r"http\w+"):
