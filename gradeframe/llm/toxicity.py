@@ -51,9 +51,11 @@ from gradeframe.session import materialize
 TRAINING_ROWS = 20_000
 FEATURES = 2_048
 FOLDS = 3
-MIN_DOCS = 5
-#: Far beyond what chance gives among the words of ``TRAINING_ROWS`` documents.
-MIN_CHI2 = 40.0
+#: A feature is in this many training rows, and in this share of them.
+MIN_DOCS = 3
+MIN_SHARE = 0.001
+#: Beyond what chance gives among features of that frequency.
+MIN_CHI2 = 25.0
 SKETCH = 3
 #: Bytes of the heads of words, and the mark of a head, which no word holds.
 HEADS = (4, 6, 8)
@@ -181,7 +183,7 @@ def _word_counts(rows: DataFrame, categories: list[str]) -> DataFrame:
     sums = rows.mapInArrow(run, schema).groupBy("word").agg(
         F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in categories]
     )
-    return sums.filter(F.col("n") >= MIN_DOCS)
+    return sums
 
 
 def choose_words(rows: DataFrame, categories: list[str], features: int = FEATURES) -> list[bytes]:
@@ -194,7 +196,8 @@ def choose_words(rows: DataFrame, categories: list[str], features: int = FEATURE
         spread = expected * (n - positive) / n * (n - F.col("n")) / n
         scores.append(F.coalesce(F.try_divide(F.pow(F.col(f"n_{c}") - expected, 2), spread), F.lit(0.0)))
     score = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    strong = _word_counts(rows, categories).withColumn("score", score).filter(F.col("score") >= MIN_CHI2)
+    common = _word_counts(rows, categories).filter(F.col("n") >= max(MIN_DOCS, MIN_SHARE * totals["n"]))
+    strong = common.withColumn("score", score).filter(F.col("score") >= MIN_CHI2)
     top = strong.orderBy(F.desc("score"), "word").limit(features)
     return sorted(bytes(r["word"]) for r in top.select("word").collect())
 
