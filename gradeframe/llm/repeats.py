@@ -10,9 +10,10 @@ in the texts. Equal strings meet in one shard, whatever texts they are in:
   a core. A core that occurs once has no repeated string and ends here.
 * *Pre-aggregation.* Equal units are one unit with a count. A unit that occurs twice has only
   repeated strings. If all units of a core are equal, that is all.
-* *Suffix arrays.* Different units with the same core are joined, their suffixes put in order by Lyndon groups
-  (``suffix_groups``), and neighbours in that order compared: a string is repeated if a
-  neighbour begins with the same bytes, or if its unit is counted twice.
+* *Suffix arrays.* Different units with the same core are joined, the core as a single symbol, their
+  suffixes put in order by Lyndon groups (``suffix_groups``), and neighbours in that order
+  compared: a string is repeated if a neighbour begins with the same symbols, or if its
+  unit is counted twice.
 * *Hot cores.* A core with more than ``HOT_UNITS`` different units is not put in one
   task: each of its strings becomes a row of its own, and equal strings are counted by their digest.
 
@@ -41,8 +42,8 @@ UNIT = 64
 HOT_UNITS = 512
 #: Bits of the filters that spare texts and units the shuffle; 8 MB each.
 FILTER_BITS = 26
-#: Bytes whose suffixes are put in order at once.
-JOINED_BYTES = 1 << 18
+#: Units whose suffixes are put in order at once.
+PART_UNITS = 512
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def find_units(texts: Texts, length: int = LENGTH, unit: int = UNIT) -> tuple[np
 
 
 def _unit_rows(texts: Texts, length: int, unit: int):
-    """Of each unit: text, start in it, strings, digests of core and content, the bytes' range."""
+    """Of each unit: text, start in it, strings, digests of core and content, and where it and its core start and end."""
     owner, start, size, core, number = find_units(texts, length, unit)
     raw = texts.data.tobytes()
     digest = xxhash.xxh3_64_intdigest
@@ -104,7 +105,7 @@ def _unit_rows(texts: Texts, length: int, unit: int):
     ends = start + size + length - 1
     contents = [digest(raw[a:b], c - a) for a, b, c in zip(start.tolist(), ends.tolist(), (core + unit).tolist())]
     signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-    return owner, start - texts.offsets[:-1][owner], size, signed(cores), signed(contents), start, ends
+    return owner, start - texts.offsets[:-1][owner], size, signed(cores), signed(contents), start, core, ends
 
 
 def _text_keys(texts: Texts) -> np.ndarray:
@@ -146,7 +147,7 @@ def core_counts(docs: DataFrame, length: int = LENGTH, unit: int = UNIT) -> Data
     def run(batches):
         for _, texts in slices(batches):
             distinct, _, times = _distinct(texts)
-            owner, _, _, core, content, _, _ = _unit_rows(distinct, length, unit)
+            owner, _, _, core, content, *_ = _unit_rows(distinct, length, unit)
             yield pa.RecordBatch.from_pydict({"core": core, "content": content, "n": times[owner]})
 
     units = docs.select("text").mapInArrow(run, "core long, content long, n long")
@@ -157,19 +158,23 @@ def core_counts(docs: DataFrame, length: int = LENGTH, unit: int = UNIT) -> Data
 
 
 def _candidates(docs: DataFrame, repeated: np.ndarray, mixed: np.ndarray, length: int, unit: int) -> DataFrame:
-    """The units whose core may be repeated, with their bytes if it may be mixed."""
+    """The units whose core may be repeated; if it may be mixed, with the bytes before and after
+    the core and a second digest of it."""
     sent = docs.sparkSession.sparkContext.broadcast((repeated, mixed))
-    schema = "core long, content long, n long, key_a long, key_b long, start long, size int, bytes binary"
+    schema = "core long, content long, n long, key_a long, key_b long, start long, size int, check long, left binary, right binary"
 
     def run(batches):
         any_, several = sent.value
         for _, texts in slices(batches):
             distinct, keys, times = _distinct(texts)
-            owner, start, size, core, content, begin, end = _unit_rows(distinct, length, unit)
+            owner, start, size, core, content, begin, middle, end = _unit_rows(distinct, length, unit)
             chosen = np.flatnonzero(_passes(any_, core))
             needed = _passes(several, core[chosen])
             raw = distinct.data.tobytes()
-            cut = [raw[a:b] if x else None for a, b, x in zip(begin[chosen].tolist(), end[chosen].tolist(), needed.tolist())]
+            edges = list(zip(begin[chosen].tolist(), middle[chosen].tolist(), end[chosen].tolist(), needed.tolist()))
+            core_length = length - unit + 1
+            digest = xxhash.xxh3_64_intdigest
+            check = [digest(raw[c : c + core_length], 1 << 32) - (1 << 63) if x else None for _, c, _, x in edges]
             owner = owner[chosen]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -180,39 +185,48 @@ def _candidates(docs: DataFrame, repeated: np.ndarray, mixed: np.ndarray, length
                     "key_b": keys[owner, 1],
                     "start": start[chosen],
                     "size": pa.array(size[chosen], pa.int32()),
-                    "bytes": pa.array(cut, pa.binary()),
+                    "check": pa.array(check, pa.int64()),
+                    "left": pa.array([raw[a:c] if x else None for a, c, _, x in edges], pa.binary()),
+                    "right": pa.array([raw[c + core_length : b] if x else None for _, c, b, x in edges], pa.binary()),
                 }
             )
 
     return docs.select("text").mapInArrow(run, schema)
 
 
-def repeated_strings(units: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each unit, which of its strings start a repetition, by one suffix array of all units."""
+def repeated_strings(
+    cores: list, lefts: list[bytes], rights: list[bytes], sizes: list[int], counts: list[int], unit: int = UNIT
+) -> list[np.ndarray]:
+    """Of each unit, which of its strings start a repetition, by one suffix array of all units.
+
+    A core stands for all its bytes as one symbol of its own, so each string is ``unit`` symbols long.
+    """
+    numbers: dict = {}
     symbols: list[int] = []
-    starts, valid = [], []
-    for unit in units:
+    starts = []
+    for core, left, right in zip(cores, lefts, rights):
         starts.append(len(symbols))
-        symbols.extend(unit)
+        symbols.extend(left)
+        symbols.append(257 + numbers.setdefault(core, len(numbers)))
+        symbols.extend(right)
         symbols.append(256)
-        valid.append(len(unit) - length + 1)
     array = np.array(suffix_array(symbols), dtype=np.int64)
-    text = np.array(symbols, dtype=np.int16)
+    text = np.array(symbols, dtype=np.int32)
     is_string = np.zeros(len(text), dtype=bool)
-    for s, n in zip(starts, valid):
+    for s, n in zip(starts, sizes):
         is_string[s : s + n] = True
     array = array[is_string[array]]
     repeated = np.zeros(len(text), dtype=bool)
     left, right = array[:-1], array[1:]
-    steps = np.arange(length)
-    for at in range(0, len(left), 4096):
-        a, b = left[at : at + 4096], right[at : at + 4096]
-        probe = (text[a] == text[b]) & (text[a + length - 1] == text[b + length - 1]) & (text[a + length // 2] == text[b + length // 2])
-        a, b = a[probe], b[probe]
+    steps = np.arange(unit)
+    for at in range(0, len(left), 1 << 16):
+        a, b = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+        near = text[a] == text[b]
+        a, b = a[near], b[near]
         same = (text[a[:, None] + steps] == text[b[:, None] + steps]).all(axis=1)
         repeated[a[same]] = True
         repeated[b[same]] = True
-    return [repeated[s : s + n] | (c > 1) for s, n, c in zip(starts, valid, counts)]
+    return [repeated[s : s + n] | (c > 1) for s, n, c in zip(starts, sizes, counts)]
 
 
 def _as_mask(marks: np.ndarray) -> int:
@@ -220,49 +234,48 @@ def _as_mask(marks: np.ndarray) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _resolve(distinct: DataFrame, length: int) -> DataFrame:
-    """``core, content, mask``: the repeated strings of different units with a core, as bits."""
-    parts = max(1, -(-distinct.count() // 4_096))
-    # every part has about 2 MB; a core's units are together and few
+def _resolve(distinct: DataFrame, unit: int) -> DataFrame:
+    """``core, check, content, mask``: the repeated strings of different units with a core, as bits."""
+    parts = max(1, -(-distinct.count() // PART_UNITS))
+    # every part has some 300 kB; a core's units are together and few
     dealt = distinct.withColumn("part", F.pmod(F.xxhash64("core"), F.lit(parts)))
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("core")
-        core, contents = table.column("core").to_numpy(), table.column("content")
-        units, counts = table.column("bytes").to_pylist(), table.column("n").to_pylist()
-        masks: list[int] = []
-        sizes = np.cumsum([len(u) for u in units])
-        at = 0
-        while at < len(units):
-            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + JOINED_BYTES)))
-            end = int(np.searchsorted(core, core[end - 1], side="right"))  # whole cores
-            found = repeated_strings(units[at:end], counts[at:end], length)
-            masks += [_as_mask(m) for m in found]
-            at = end
-        return pa.table({"core": core, "content": contents, "mask": pa.array(masks, pa.int64())})
-
-    return dealt.groupBy("part").applyInArrow(work, "core long, content long, mask long")
-
-
-def _resolve_hot(distinct: DataFrame, length: int) -> DataFrame:
+        names = ("core", "check", "left", "right", "size", "n")
+        core, check, lefts, rights, sizes, counts = (table.column(c).to_pylist() for c in names)
+        masks = [_as_mask(m) for m in repeated_strings(list(zip(core, check)), lefts, rights, sizes, counts, unit)]
+        columns = {c: table.column(c) for c in ("core", "check", "content")}
+        return pa.table(columns | {"mask": pa.array(masks, pa.int64())})
+
+    return dealt.groupBy("part").applyInArrow(work, "core long, check long, content long, mask long")
+
+
+def _resolve_hot(distinct: DataFrame, unit: int) -> DataFrame:
     """The same by one row a string, for cores with very many different units."""
 
     def strings(batches):
         for batch in batches:
             at, place, digests = [], [], []
-            for i, unit in enumerate(batch.column("bytes").to_pylist()):
-                for j in range(len(unit) - length + 1):
+            for i, row in enumerate(batch.select(["core", "check", "left", "right", "size"]).to_pylist()):
+                core = row["core"].to_bytes(8, "little", signed=True) + row["check"].to_bytes(8, "little", signed=True)
+                for j in range(row["size"]):
+                    before = row["left"][j:]
+                    string = core + bytes([len(before)]) + before + row["right"][: unit - 1 - len(before)]
                     at.append(i)
                     place.append(j)
-                    digests.append(xxhash.xxh3_128_digest(unit[j : j + length]))
-            rows = batch.drop_columns(["bytes"]).take(pa.array(at, pa.int64()))
+                    digests.append(xxhash.xxh3_128_digest(string))
+            rows = batch.select(["core", "check", "content", "n"]).take(pa.array(at, pa.int64()))
             columns = {name: rows.column(name) for name in rows.schema.names}
-            yield pa.RecordBatch.from_pydict(columns | {"place": pa.array(place, pa.int32()), "string": pa.array(digests, pa.binary())})
+            yield pa.RecordBatch.from_pydict(
+                columns | {"place": pa.array(place, pa.int32()), "string": pa.array(digests, pa.binary())}
+            )
 
-    each = materialize(distinct.mapInArrow(strings, "core long, content long, n long, place int, string binary"))
+    each = materialize(
+        distinct.mapInArrow(strings, "core long, check long, content long, n long, place int, string binary")
+    )
     again = each.groupBy("string").agg(F.sum("n").alias("n")).filter("n > 1").select("string")
     bit = F.expr("shiftleft(1L, place)")
-    return each.join(again, "string", "left_semi").groupBy("core", "content").agg(F.bit_or(bit).alias("mask"))
+    return each.join(again, "string", "left_semi").groupBy("core", "check", "content").agg(F.bit_or(bit).alias("mask"))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, unit: int = UNIT, hot_units: int = HOT_UNITS) -> DataFrame:
@@ -274,12 +287,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, unit: int = UNIT, hot
     every = F.expr("CASE WHEN size = 64 THEN -1L ELSE ~shiftleft(-1L, size) END").alias("mask")
     whole = known.filter(~F.col("mixed")).select("key_a", "key_b", "start", every)
     mixed = materialize(known.filter("mixed").drop("mixed"))
-    distinct = materialize(mixed.groupBy("core", "content").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes")))
+    first = [F.first(c).alias(c) for c in ("left", "right", "size")]
+    distinct = materialize(mixed.groupBy("core", "check", "content").agg(F.sum("n").alias("n"), *first))
     hot = distinct.groupBy("core").count().filter(F.col("count") > hot_units).select("core")
-    masks = _resolve(distinct.join(hot, "core", "left_anti"), length).unionByName(
-        _resolve_hot(distinct.join(hot, "core", "left_semi"), length)
+    masks = _resolve(distinct.join(hot, "core", "left_anti"), unit).unionByName(
+        _resolve_hot(distinct.join(hot, "core", "left_semi"), unit)
     )
-    solved = mixed.join(materialize(masks), ["core", "content"]).filter("mask != 0").select("key_a", "key_b", "start", "mask")
+    solved = mixed.join(materialize(masks), ["core", "check", "content"]).filter("mask != 0").select("key_a", "key_b", "start", "mask")
     # a text's spans are as many as it is long
     return whole.unionByName(solved).groupBy("key_a", "key_b").agg(F.collect_set(place).alias("spans"))
 
