@@ -65,15 +65,17 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Batches cut into runs of rows of at most ``SLICE_BYTES`` of text, or one row."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Batches cut into runs of rows of at most ``size`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         offsets = texts_of(batch.column(column)).offsets
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             part = batch.slice(at, end - at)
             yield part, texts_of(part.column(column))
             at = end

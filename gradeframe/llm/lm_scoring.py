@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeframe.llm.arrow_text import LOWER, Texts, distinct_words, find_words, slices, sums_by_text
-from gradeframe.session import materialize
+from gradeframe.session import materialize, release
 
 ORDER = 4
 EDGE = 256
@@ -43,7 +43,9 @@ BITS = 9
 BLOCK_CELLS = 4_000_000
 FREQUENT_WORDS = 400_000
 #: Distinct values a task gathers before it passes them on.
-GATHERED = 2_000_000
+GATHERED = 500_000
+#: Bytes of text, and symbols, worked on at once; each symbol takes some 100 bytes.
+SLICE = 1 << 20
 
 
 def _grams(texts: Texts, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``gram, n``: how often each context of ``order`` symbols is followed by each symbol."""
 
     def run(batches):
-        parts = (np.unique(_grams(texts, order)[0], return_counts=True) for _, texts in slices(batches))
+        parts = (np.unique(_grams(texts, order)[0], return_counts=True) for _, texts in slices(batches, size=SLICE))
         yield from _added_up(((pa.array(g), n) for g, n in parts), "gram")
 
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -108,7 +110,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         return dictionary, np.bincount(codes, minlength=len(dictionary))
 
     def run(batches):
-        parts = (counted(texts) for _, texts in slices(batches))
+        parts = (counted(texts) for _, texts in slices(batches, size=SLICE))
         for batch in _added_up(((d, n) for d, n in parts if len(d)), "word"):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), batch.column(1)], ["word", "n"])
 
@@ -236,16 +238,27 @@ def _frequent(vocabulary: DataFrame, ends: int, limit: int) -> Words:
     return Words(words, table.column("n").to_numpy(), tokens, distinct, ends)
 
 
-def _with_base(docs: DataFrame, frequent: Words) -> DataFrame:
-    """Adds a row number, the base of frequent words and the end, and the other words."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _block_scores(texts: Texts, levels: list[Level], block: int, blocks: int) -> np.ndarray:
+    """Of each text, the sum over the symbols whose context is in the block."""
+    grams, ranges = _grams(texts, len(levels) - 1)
+    logs = np.zeros(len(grams))
+    for at in range(0, len(grams), SLICE):
+        some = grams[at : at + SLICE]
+        own = np.ones(len(some), dtype=bool) if blocks == 1 else _block_of(some, blocks) == block
+        logs[at : at + SLICE][own] = log_probabilities(some[own], levels)
+    return sums_by_text(logs, ranges)
+
+
+def _first_pass(docs: DataFrame, frequent: Words, levels: list[Level], blocks: int) -> DataFrame:
+    """Adds a row number, the base of frequent words and the end, the other words, and the first block's score."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, levels))
     new = "row long, n_tokens long, n_known long, base double, other array<binary>, times array<bigint>, score double"
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(new).fields])
 
     def run(batches):
-        model = sent.value
+        model, levels = sent.value
         number = TaskContext.get().partitionId() << 36
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, size=SLICE):
             words, dictionary, codes = _lowered_words(texts)
             known = pc.index_in(dictionary, model.words).fill_null(-1).to_numpy()
             c = model.counts[known] if len(model.counts) else np.zeros(len(known))
@@ -265,7 +278,7 @@ def _with_base(docs: DataFrame, frequent: Words) -> DataFrame:
                 "base": sums_by_text(term[codes] if len(term) else np.zeros(0), words.text_offsets) + model.term(end),
                 "other": pa.ListArray.from_arrays(ranges, other),
                 "times": pa.ListArray.from_arrays(ranges, pa.array(times, pa.int64())),
-                "score": np.zeros(part.num_rows),
+                "score": _block_scores(texts, levels, 0, blocks),
             }
             number += part.num_rows
             yield pa.RecordBatch.from_pydict(columns)
@@ -278,12 +291,8 @@ def _add_block(rows: DataFrame, levels: list[Level], block: int, blocks: int) ->
     sent = rows.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        for part, texts in slices(batches):
-            grams, ranges = _grams(texts, len(sent.value) - 1)
-            own = np.ones(len(grams), dtype=bool) if blocks == 1 else _block_of(grams, blocks) == block
-            logs = np.zeros(len(grams))
-            logs[own] = log_probabilities(grams[own], sent.value)
-            score = part.column("score").to_numpy() + sums_by_text(logs, ranges)
+        for part, texts in slices(batches, size=SLICE):
+            score = part.column("score").to_numpy() + _block_scores(texts, sent.value, block, blocks)
             columns = {name: part.column(name) for name in part.schema.names} | {"score": score}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -305,11 +314,16 @@ def score(docs: DataFrame, learn: str = "true", order: int = ORDER, block_cells:
     blocks = max(1, -(-grams.count() // block_cells))
     spot = F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
     own = F.pmod((spot * 40503).bitwiseAND(0xFFFF), F.lit(blocks))
-    rows = _with_base(read, known)
+    rows = None
     for block in range(blocks):
         part = grams.filter(own == block).toArrow()
         columns = [t.column(c).to_numpy() for t in (part, low) for c in ("gram", "n")]
-        rows = materialize(_add_block(rows, build_levels(*columns, order), block, blocks))
+        levels = build_levels(*columns, order)
+        before = rows
+        rows = _add_block(rows, levels, block, blocks) if block else _first_pass(read, known, levels, blocks)
+        rows = materialize(rows if block < blocks - 1 else rows.drop("text"))
+        if before is not None:
+            release(before)
     other = rows.select("row", F.explode(F.arrays_zip("other", "times")).alias("x")).select(
         "row", F.col("x.other").alias("word"), "x.times"
     )
