@@ -41,7 +41,7 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 #: Fingerprints that a shard is meant to hold, and that the top tree is grown from.
-SHARD_SIZE = 16_384
+SHARD_SIZE = 65_536
 TREE_SAMPLE = 50_000
 #: Cells of one direct comparison.
 BLOCK = 1 << 22
