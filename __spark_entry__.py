@@ -40,8 +40,10 @@ except ModuleNotFoundError as missing:
         raise
     llm_queries = None
 
-# Rounds of the boosting queries, the one setting that is smaller than in production
-# (hundreds): a round costs seconds of job overhead on any table. All rows, folds, features and learners are used.
+# Rounds of the boosting queries, and the rounds without a rise after which a fit stops, are
+# smaller than in production (hundreds): a round costs seconds of job overhead on any table.
+# All rows, folds and features are used. early_stopping fits the second learner and
+# boosted_importance the selection learner; the other queries fit both learners.
 ROUNDS = 4
 FEW_ROUNDS = 2
 #: Rounds without a rise after which a fit stops.
@@ -365,17 +367,17 @@ def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross_validated(spark: SparkSession, sf_dir: str):
-    """The whole training chain on text statistics and character pairs and triples."""
+    """The whole training chain on text statistics and both vectorizers; only the rounds are few."""
     essays = roles.essays(spark, sf_dir)
     folds = mart.fold_assignment(roles.essay_keys(spark, sf_dir))
     table = materialize(_mart(spark, sf_dir).join(folds.select("essay_id", "fold"), "essay_id"))
-    blocks = mart.fit_blocks(mart.fold_texts(essays, folds), [ngrams.COUNT])
+    blocks = mart.fit_blocks(mart.fold_texts(essays, folds))
 
     def prepare(fold: int):
         return training.fold_vectors(table, features.ESSAY_FEATURES, blocks, fold, ["essay_id", "score", "fold"])
 
     learners = [learner.with_rounds(FEW_ROUNDS) for learner in (boosting.FIRST, boosting.SECOND)]
-    result = training.cross_validate(prepare, range(5), learners, cap=200, selection_rounds=2, parallelism=5)
+    result = training.cross_validate(prepare, range(N_FOLDS), learners, selection_rounds=FEW_ROUNDS, parallelism=N_FOLDS)
     return essays, table, blocks, result
 
 

@@ -36,3 +36,18 @@ def test_parity(spark, duck, tiny_dir, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert len(df.columns) == 104 and df.count() == 200
+
+
+def test_cross_validation_gets_every_feature(spark, tiny_dir, monkeypatch):
+    """Both vectorizers reach the models, under the production cap; only rounds are fewer."""
+    asked = {}
+
+    def caught(prepare, folds, learners, **settings):
+        asked.update(settings, folds=list(folds), learners=[x.name for x in learners], names=prepare(0)[1])
+
+    monkeypatch.setattr(contract.training, "cross_validate", caught)
+    contract._cross_validated(spark, tiny_dir)
+    blocks = {name.rsplit("_", 1)[0] for name in asked["names"][len(contract.features.ESSAY_FEATURES) :]}
+    assert blocks == {"tfid", "tfid_cnt"}
+    assert (asked["folds"], asked["learners"]) == ([0, 1, 2, 3, 4], ["first", "second"])
+    assert set(asked) <= {"folds", "learners", "names", "selection_rounds", "parallelism"}
