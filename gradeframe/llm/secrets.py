@@ -2,9 +2,9 @@
 
 Everything is a column expression or a grouping. Base spans are the matches of three
 patterns. Two first-order Markov models of characters, one of random strings and one of
-ordinary identifiers, are trained from labelled samples; a long run of identifier
-characters outside every base span is a span of kind ``random`` if the log-likelihood
-ratio of the two models exceeds ``THRESHOLD``.
+ordinary identifiers, are trained from labelled samples. Runs of identifier characters are
+cut at the base spans; every piece of ``RUN_LENGTH`` or more is a span of kind ``random`` if
+the log-likelihood ratio of the two models exceeds ``THRESHOLD``.
 
 The query's labelled samples come from the documents: the values of base matches are
 random strings, long runs without a digit are ordinary. At most ``SAMPLE_VALUES`` distinct
@@ -31,7 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN_LENGTH = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{RUN_LENGTH},}}"
 SAMPLE_RUN = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE_VALUES = 20_000
 THRESHOLD = 12.0
@@ -76,8 +77,19 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _outside(span: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of ``run`` between the base spans, which come by start, that are long enough."""
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    start = F.struct(run["start"].alias("at"), _none().alias("pieces"))
+
+    def piece(state, end):
+        one = F.array(F.struct(state["at"].alias("start"), run["kind"].alias("kind"), end.alias("end")))
+        return F.when(end - state["at"] >= RUN_LENGTH, F.concat(state["pieces"], one)).otherwise(state["pieces"])
+
+    def walk(state, b):
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), piece(state, b["start"]).alias("pieces"))
+
+    return F.aggregate(touching, start, walk, lambda state: piece(state, run["end"]))
 
 
 def _cut(text: Column, span: Column) -> Column:
@@ -158,10 +170,8 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     """``docs`` (which has ``text``) with ``base`` and ``spans``: arrays of start, kind and end."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("base", base_spans(text)).withColumn("runs", _spans(text, RUN, 3))
-    random = F.filter(
-        "runs",
-        lambda s: _outside(s, F.col("base")) & (log_likelihood_ratio(_cut(text, s), ratios) > threshold),
-    )
+    pieces = F.flatten(F.transform("runs", lambda run: _outside(run, F.col("base"))))
+    random = F.filter(pieces, lambda s: log_likelihood_ratio(_cut(text, s), ratios) > threshold)
     spans = F.array_sort(F.concat("base", random))
     return found.withColumn("spans", spans).drop("runs")
 
