@@ -302,6 +302,40 @@ def test_toxicity_of_odd_rows(spark, make_docs, odd_rows):
     assert toxicity.toxicity(docs, named.limit(0), categories).filter("toxic").count() == 0
 
 
+def test_toxicity_keeps_most_of_the_english_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels, categories = toxicity.document_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    found = toxicity.toxicity(docs, labels.filter("doc_id % 2 = 0"), categories)
+    truth = labels.filter("doc_id % 2 = 1 AND toxic = 1").select("doc_id")
+    english = found.join(truth, "doc_id").join(docs.filter("lang = 'en'").select("doc_id"), "doc_id").collect()
+    assert sum(r["toxic"] for r in english) >= 0.8 * len(english)
+
+
+def test_rare_words_of_many_training_rows_are_features(spark):
+    rows = [(i, f"common text {'zorgo' if i < 6 else 'plain'}", int(i < 600)) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert b"zorgo" in toxicity.choose_words(table, ["toxic"])
+
+
+def test_training_drops_near_copies_only(make_docs, spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    base, shared = words(300), words(30)
+    near = " ".join([*base[:-1], "other"])
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, near), (4, "one two"), (5, "one three"), (6, "one two")]
+    # different texts with a passage in common
+    rows += [(10 + i, " ".join([*words(30), *shared, *words(30)])) for i in range(20)]
+    # a copy with another label stays
+    rows += [(40, " ".join(base))]
+    labels = spark.createDataFrame([(i, int(i == 40)) for i, _ in rows], "doc_id long, toxic int")
+    found = {r["doc_id"] for r in toxicity.training_rows(make_docs(*rows), labels, ["toxic"]).collect()}
+    assert found >= {1, 4, 5, 40} and not found & {2, 6} and len(found & set(range(10, 30))) >= 19
+    # copies take no place in the bounded sample
+    rows = [(i, "same words in every row") for i in range(100)] + [(100 + i, f"text {i} of its own") for i in range(10)]
+    labels = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int")
+    assert toxicity.training_rows(make_docs(*rows), labels, ["toxic"], limit=11).count() == 11
+
+
 def test_language_id(spark, make_docs, odd_rows):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     learn = "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) != 2"
