@@ -6,7 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -96,20 +96,28 @@ def release(table: DataFrame) -> None:
     _delete(table.sparkSession, table.stored_at)
 
 
-def materialize(df: DataFrame, schema: StructType | None = None, keep: bool = False) -> DataFrame:
+def shared_subfolder(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder for stored tables, deleted as they are (see ``stored_tables``)."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    paths = getattr(_scopes, "kept" if keep else "paths", None)
+    if paths is not None:
+        paths.append(path)
+    return path
+
+
+def materialize(
+    df: DataFrame, schema: StructType | None = None, keep: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
     This cuts lineage in a way that survives executor loss, and gives the planner
     the stored size, so that it broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold``. Inside ``stored_tables`` the table is
-    deleted at the end, unless it is to be kept.
+    deleted at the end, unless it is to be kept. ``by`` lays it out in folders by these columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    paths = getattr(_scopes, "kept" if keep else "paths", None)
-    if paths is not None:
-        paths.append(path)
-    df.write.parquet(path)
+    path = shared_subfolder(spark, keep)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     table = spark.read.schema(schema or df.schema).parquet(path)
     table.stored_at = path
     return table
