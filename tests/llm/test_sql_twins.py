@@ -19,4 +19,4 @@ def test_twin(spark, tiny_dir, name):
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in queries.queries()} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {name.split("_")[0] for name in queries.queries()} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
