@@ -4,12 +4,13 @@ A node is a distinct sequence of the first turns of conversations; its members a
 conversations that start with it. At each depth, from the largest one up, the conversations
 that end there join the nodes that survived from below, equal ones are merged in one grouped sum, and
 the last turn is taken off, which gives the level above. Counts, leaves and saved tokens are
-added up on the way, so each level is read once and no subtree is ever gathered.
+added up on the way, so each level is read once and no subtree is ever gathered. Where no conversation
+ends for some levels and the nodes' ancestors there stay apart, several turns are taken off at once.
 
 * A sequence is named by a chain of digests, one a turn, computed from digests of the turns; texts are
   never shuffled. A row carries the chain of its last ``SEGMENT`` turns only, so long
   conversations cost no more a turn than short ones; every ``SEGMENT`` levels, one join fetches the
-  next part of the chain. The levels of a segment are one job, written by depth.
+  next part of the chain.
 * All grouping keys are digests with sums and least values, so a first turn that most conversations
   share is added up where the rows are. The turns of one conversation meet in one row, 32 bytes a turn.
 * The ids that end at a node are sorted over all tasks, written as text there in pieces of
@@ -24,7 +25,6 @@ conversation and are left out. Other columns are left out. An empty table has no
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gradeframe.session import materialize, shared_subfolder, stored_tables
 
-#: Levels per job, and turns of the chain that a row carries.
+#: Turns of the chain that a row carries.
 SEGMENT = 16
 #: Conversation ids written as one text.
 PIECE = 1 << 16
@@ -127,14 +127,37 @@ def _merged(rows: DataFrame) -> DataFrame:
     )
 
 
-def _stripped(nodes: DataFrame) -> DataFrame:
-    """The nodes of a level without their last turn, each one child of the node above."""
-    shorter = F.expr(f"substring(path, 1, octet_length(path) - {RECORD})").alias("path")
-    return nodes.select(shorter, "conv_id", "n_convs", F.lit(1).cast("long").alias("children"), "n_leaves", "saved_tokens")
+def _block(nodes: DataFrame, depth: int, low: int, floor: int) -> DataFrame:
+    """The nodes of a level and, down to depth ``low``, those above, where no others join them: each has one
+    child. Paths begin at depth ``floor``; the lowest nodes keep that of their parent in ``above``."""
+    at = lambda d, more=0: f"{RECORD} * ({d} - {floor}) + {1 + more}"
+    size = f"cast(conv(hex(substring(path, {at('i', 16)}, 8)), 16, 10) AS bigint)"
+    passed = f"CASE WHEN d < {depth} THEN aggregate(sequence(d, {depth - 1}), 0L, (s, i) -> s + {size}) ELSE 0L END"
+    return nodes.withColumn("d", F.explode(F.sequence(F.lit(low), F.lit(depth)))).select(
+        F.col("d").alias("depth"),
+        F.expr(f"substring(path, {at('d')}, 16)").alias("key"),
+        F.expr(f"substring(path, {at('d - 1')}, 16)").alias("parent"),
+        "conv_id",
+        "n_convs",
+        F.when(F.col("d") == depth, F.col("n_children")).otherwise(1).cast("long").alias("n_children"),
+        "n_leaves",
+        (F.col("saved_tokens") + (F.col("n_convs") - 1) * F.expr(passed)).alias("saved_tokens"),
+        F.when(F.col("d") == low, F.expr(f"substring(path, 1, {RECORD * (low - floor)})")).alias("above"),
+    )
+
+
+def _stay_apart(rows: DataFrame, records: int) -> bool:
+    """Whether different paths still differ in their first ``records`` records."""
+    path = F.xxhash64("path")
+    groups = rows.groupBy(F.expr(f"substring(path, 1, {RECORD * records})").alias("head"))
+    return groups.agg(F.min(path).alias("a"), F.max(path).alias("b")).filter("a != b").isEmpty()
 
 
 def _levels(chains: DataFrame, folder: str) -> DataFrame:
-    """The nodes of all depths, written to ``folder`` segment by segment."""
+    """The nodes of all depths, written to ``folder`` block by block.
+
+    A block is a level, or several levels between which no conversation ends and no nodes merge.
+    """
     spark = chains.sparkSession
     zero = F.lit(0).cast("long")
     ended = chains.filter("ends").groupBy("depth", "path").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
@@ -146,39 +169,44 @@ def _levels(chains: DataFrame, folder: str) -> DataFrame:
     longer = chains.filter("NOT ends").groupBy("depth", "path").agg(F.lit(1).alias("one")).select("depth", "path", _key(1).alias("key"))
     longer = materialize(longer.repartition("depth", "key"), by=["depth"])
     columns = ["path", "conv_id", "n_convs", "children", "n_leaves", "saved_tokens"]
-    out_schema = "depth int, key binary, parent binary, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
+    schema = "depth int, key binary, parent binary, conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
+    paths: list[str] = []
 
-    def written(nodes: list[DataFrame], segment: int) -> DataFrame:
-        path = f"{folder}/segment={segment}"
-        reduce(DataFrame.unionByName, nodes).write.parquet(path)
-        return spark.read.schema(out_schema).parquet(path)
+    def written(rows: DataFrame) -> DataFrame:
+        paths.append(f"{folder}/{len(paths)}")
+        rows.write.parquet(paths[-1])
+        return spark.read.schema(f"{schema}, above binary").parquet(paths[-1])
 
-    def parents_of(nodes: DataFrame, depth: int) -> DataFrame:
-        """What the written nodes of a depth give to the nodes above."""
+    def parents_of(nodes: DataFrame, key: str) -> DataFrame:
+        """What the lowest nodes of a block give to the nodes above, by path or key."""
         sums = [F.count(F.lit(1)).alias("children"), *(F.sum(c).alias(c) for c in ("n_convs", "n_leaves", "saved_tokens"))]
-        return nodes.filter(F.col("depth") == depth).groupBy(F.col("parent").alias("key")).agg(F.min("conv_id").alias("conv_id"), *sums)
+        return nodes.filter("above IS NOT NULL").groupBy(F.col(key)).agg(F.min("conv_id").alias("conv_id"), *sums)
 
     deepest = max(ending, default=0)
-    above = None  # sums for the lowest level of the next segment, by key
+    block = None
     for end in range(-(-deepest // SEGMENT) * SEGMENT, 0, -SEGMENT):
-        live = None
-        if above is not None:
+        floor, depth, live = end - SEGMENT, min(end, deepest), None
+        if block is not None:
+            above = parents_of(block, "parent").withColumnRenamed("parent", "key")
             live = above.join(longer.filter(F.col("depth") == end).drop("depth"), "key").select(*columns)
-        made = []
-        for depth in range(min(end, deepest), end - SEGMENT, -1):
-            own = ended.filter(F.col("depth") == depth).select(*columns) if depth in ending else None
-            live = own if live is None else live if own is None else live.unionByName(own)
-            nodes = _merged(live)
-            made.append(nodes.select(F.lit(depth).alias("depth"), _key(1).alias("key"), _key(2).alias("parent"), "*").drop("path"))
-            live = _stripped(nodes)
-        above = parents_of(written(made, end), end - SEGMENT + 1)
+        while depth > floor:
+            if depth in ending:
+                own = ended.filter(F.col("depth") == depth).select(*columns)
+                live = own if live is None else live.unionByName(own)
+            low = max((d for d in ending if floor < d < depth), default=floor) + 1
+            if low < depth and not _stay_apart(live, low - floor + 1):
+                low = depth
+            block = written(_block(_merged(live), depth, low, floor))
+            live = parents_of(block, "above").withColumnRenamed("above", "path").select(*columns)
+            depth = low - 1
     root = ended.filter("depth = 0").select(*columns)
-    if above is not None:
-        root = root.unionByName(above.withColumn("path", F.lit(ROOT)).select(*columns))
-    root = _merged(root)
-    return written(
-        [root.select(F.lit(0).alias("depth"), _key(1).alias("key"), F.lit(None).cast("binary").alias("parent"), "*").drop("path")], 0
-    ).sparkSession.read.schema(out_schema).parquet(*[f"{folder}/segment={i}" for i in range(0, deepest + SEGMENT, SEGMENT)])
+    if block is not None:
+        root = root.unionByName(parents_of(block, "above").withColumnRenamed("above", "path").select(*columns))
+    none = F.lit(None).cast("binary")
+    written(
+        _merged(root).select(F.lit(0).alias("depth"), _key(1).alias("key"), none.alias("parent"), "*", none.alias("above")).drop("path")
+    )
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def _end_hashes(chains: DataFrame) -> DataFrame:
