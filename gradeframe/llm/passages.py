@@ -264,7 +264,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         contents = materialize(units.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
         mixed = materialize(contents.groupBy("core").count().filter("count > 1").select("core"))
         masks = _extended(docs, mixed, length)
-        known = contents.join(masks, key, "left").filter("least < most OR mask IS NOT NULL")
+        # written, so that the next join is one of two tables, which adaptive execution can split
+        known = materialize(contents.join(masks, key, "left").filter("least < most OR mask IS NOT NULL"))
         every = F.expr("shiftleft(shiftleft(1L, size) - 1, left - size + 1)")
         mask = F.when(F.col("doc_id") > F.col("least"), every).otherwise(F.col("mask"))
         gone = units.join(known.select(*key, "least", "mask"), key).withColumn("mask", mask).filter("mask IS NOT NULL")
