@@ -10,8 +10,8 @@ Two deterministic transducers in cascade count the tokens of a text:
   may still grow into a longer token, the place in the vocabulary trie, the last token
   before the suffix and the token count there. Merging is decided between neighbouring
   tokens, so this is all that matters for the rest. Each transition carries the change
-  of the token count. Transitions are compiled when they are first taken and kept, up
-  to ``MAX_TRANSITIONS``, for the life of a worker process; then compilation starts anew.
+  of the token count. Transitions are compiled when they are first taken and kept for the
+  life of a worker process; at ``MAX_TRANSITIONS`` all are forgotten, also within a text, and compiled anew as they are taken.
 
 Null and empty texts have no tokens. Texts of any length are read whole; repeated rows
 stay. Strings of special tokens inside a text count as the one special token, as the
@@ -28,11 +28,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from gradeframe.llm.arrow_text import Texts, binary_array, id_and_text, slices, sums_by_text, texts_of
 
 CHUNK = 64
-MAX_TRANSITIONS = 4_000_000
+MAX_TRANSITIONS = 1_000_000
 
 # Symbols and states of the splitter. The pattern it stands for is
 # 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
@@ -89,15 +90,30 @@ def _splitter():
     return following, marks, np.array([elements[x] for x in letters], np.uint16), product, maps
 
 
-@lru_cache(maxsize=1)
-def _character_symbols() -> np.ndarray:
-    """Symbol of every code point, by its Unicode category."""
+@lru_cache(maxsize=4)
+def _character_symbols(path: str) -> np.ndarray:
+    """Symbol of every code point, as the tokenizer file's own splitter tells letters, numbers and blanks apart.
+
+    All code points in a row are split into runs of one kind; each run's kind shows in how its
+    first character keeps to a letter, a number and a mark beside it.
+    """
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in " '"]
+    starts = [begin for _, (begin, _) in split("".join(map(chr, points)))]
+
+    def apart(before: str, after: str) -> np.ndarray:
+        """Of each run, whether its first character is apart from the one before it, and from the one after."""
+        text = "".join(f"{before}{chr(points[i])}{after}" for i in starts)
+        begins = np.zeros(3 * len(starts), dtype=bool)
+        begins[[begin for _, (begin, _) in split(text)]] = True
+        return begins.reshape(-1, 3)[:, 1:]
+
+    letter = ~apart("a", "!")[:, 0]
+    number = ~apart("1", "!")[:, 0]
+    mark = ~apart("!", "a")[:, 0]
+    kind = np.select([letter, number, mark], [LETTER, NUMBER, OTHER], WHITE)
     symbols = np.full(0x110000, OTHER, dtype=np.uint8)
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for symbol, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
-        for run in regex.finditer(pattern, every):
-            start = ord(run[0][0])
-            symbols[start : ord(run[0][-1]) + 1] = symbol
+    symbols[points] = np.repeat(kind, np.diff([*starts, len(points)]))
     for symbol, letters in ((SPACE, " "), (QUOTE, "'"), (STMD, "stmd"), (RV, "rv"), (ELL, "l"), (EE, "e")):
         symbols[[ord(c) for c in letters]] = symbol
     return symbols
@@ -115,11 +131,11 @@ def _code_points(data: np.ndarray, leads: np.ndarray) -> np.ndarray:
     return points
 
 
-def pretoken_starts(texts: Texts) -> np.ndarray:
+def pretoken_starts(texts: Texts, tokenizer_path: str) -> np.ndarray:
     """Byte positions at which the pre-tokens of the texts start."""
     following, marks, letter_of, product, maps = _splitter()
     leads = np.flatnonzero((texts.data & 0xC0) != 0x80)
-    symbols = _character_symbols()[_code_points(texts.data, leads)]
+    symbols = _character_symbols(tokenizer_path)[_code_points(texts.data, leads)]
     # an END after each text, so that no pre-token spans two
     ends = np.searchsorted(leads, texts.offsets[1:]) + np.arange(1, len(texts.offsets))
     n = len(symbols) + len(ends)
@@ -174,9 +190,11 @@ class Merger:
             self.token[node] = token
         self._reset()
 
-    def _reset(self):
-        self.states: list[tuple] = [((0, b"", 0),)]
-        self.index = {self.states[0]: 0}
+    def _reset(self, kept: tuple[tuple, ...] = ()):
+        """Forget all transitions, and all states but the first one and those that are kept."""
+        self.states: list[tuple] = [((0, b"", 0),), *kept]
+        self.index = {state: i for i, state in enumerate(self.states)}
+        self.valid.clear()
         self.bits = 12
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.zeros(1 << self.bits, dtype=np.int64)
@@ -265,8 +283,6 @@ class Merger:
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token; all of them are read in step, the longest first."""
-        if self.size > MAX_TRANSITIONS:
-            self._reset()
         lengths = ends - starts
         order = np.argsort(-lengths, kind="stable")
         reached = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
@@ -276,6 +292,11 @@ class Merger:
         for i, active in enumerate(reached.tolist()):
             state[:active], change = self.step(state[:active], data[places[:active] + i])
             count[:active] += change
+            if self.size > MAX_TRANSITIONS:  # go on with the states that are in use
+                used, state[:active] = np.unique(state[:active], return_inverse=True)
+                first = bool(len(used)) and used[0] == 0
+                self._reset(tuple(self.states[k] for k in used[int(first) :].tolist()))
+                state[:active] += not first
         out = np.empty_like(count)
         out[order] = count
         return out
@@ -319,7 +340,7 @@ def _cut_specials(texts: Texts, specials: tuple[bytes, ...]) -> tuple[Texts, np.
 def count_tokens(texts: Texts, tokenizer_path: str) -> np.ndarray:
     merger, specials = load_tokenizer(tokenizer_path)
     pieces, owner, found = _cut_specials(texts, specials)
-    starts = pretoken_starts(pieces)
+    starts = pretoken_starts(pieces, tokenizer_path)
     coded = binary_array(pieces.data, np.append(starts, len(pieces.data))).dictionary_encode()
     distinct = texts_of(coded.dictionary)
     counts = merger.counts(distinct.data, distinct.offsets[:-1], distinct.offsets[1:])[coded.indices.to_numpy()]
