@@ -112,20 +112,20 @@ def document_samples(docs: DataFrame, limit: int = SAMPLE_VALUES) -> DataFrame:
     return labelled.unionByName(first(ordinary).withColumn("secret", F.lit(False)))
 
 
+def _pairs(value: Column, of_pair) -> Column:
+    """``of_pair`` of each two characters in a row; the value is split into characters once."""
+    characters = F.filter(F.split(value, ""), lambda c: c != "")
+    first = F.slice(characters, 1, F.greatest(F.size(characters) - 1, F.lit(0)))
+    return F.zip_with(first, F.slice(characters, 2, F.size(first)), of_pair)
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of ASCII characters, at ``128 * first + second``.
 
     ``samples`` has ``value`` and ``secret``. Characters outside ASCII are not counted.
     """
-    pairs = samples.select(
-        "secret",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.char_length("value") - 1, F.lit(1))),
-                lambda i: F.substring(F.col("value"), i, F.lit(2)),
-            )
-        ).alias("pair"),
-    ).filter(r"pair rlike '^[\\x00-\\x7F]{2}$'")
+    pairs = samples.select("secret", F.explode(_pairs(F.col("value"), F.concat)).alias("pair"))
+    pairs = pairs.filter(r"pair rlike '^[\\x00-\\x7F]{2}$'")
     counts = pairs.groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 128 * 128 rows
     seen: dict[tuple[bool, str], int] = {}
     for row in counts:
@@ -155,15 +155,10 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def log_likelihood_ratio(value: Column, ratios: list[float]) -> Column:
-    """Sum over the distinct character pairs of ``value``, which is ASCII.
-
-    A pair counts once, so that a ruled line or another periodic run is no evidence.
-    """
+    """Sum over the character pairs of ``value``, which is ASCII."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    places = F.sequence(F.lit(1), F.greatest(F.char_length(value) - 1, F.lit(1)))
-    pairs = F.array_distinct(F.transform(places, lambda i: F.substring(value, i, F.lit(2))))
-    second = lambda pair: F.ascii(F.substring(pair, 2, 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, F.ascii(p) * 128 + second(p) + 1))
+    ratio = _pairs(value, lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
+    return F.aggregate(ratio, F.lit(0.0), lambda s, x: s + x)
 
 
 def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
