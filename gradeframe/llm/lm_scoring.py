@@ -245,7 +245,9 @@ def _block_scores(texts: Texts, levels: list[Level], block: int, blocks: int) ->
     for at in range(0, len(grams), SLICE):
         some = grams[at : at + SLICE]
         own = np.ones(len(some), dtype=bool) if blocks == 1 else _block_of(some, blocks) == block
-        logs[at : at + SLICE][own] = log_probabilities(some[own], levels)
+        # each distinct gram is looked up once, and in order, which keeps the searches close together
+        distinct, place = np.unique(some[own], return_inverse=True)
+        logs[at : at + SLICE][own] = log_probabilities(distinct, levels)[place]
     return sums_by_text(logs, ranges)
 
 

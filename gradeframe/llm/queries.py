@@ -56,7 +56,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = lm_scoring.score(docs, learn="pmod(crc32(cast(cast(doc_id AS string) AS binary)), 10) != 0")
-    return scored.withColumn("held_out", F.coalesce(_id_remainder(10) == 0, F.lit(False)))
+    held_out = F.coalesce(_id_remainder(10) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
