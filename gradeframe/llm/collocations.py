@@ -38,7 +38,7 @@ from gradeframe.llm.arrow_text import BLANK, LOWER, Texts, distinct_words, find_
 from gradeframe.llm.key_filter import bit_table, may_hold
 from gradeframe.session import materialize, stored_tables
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 LEAST = 10
 TOP = 2000
 
