@@ -16,6 +16,7 @@ import oracle_queries
 from gradeframe.constants import N_FOLDS, SELECTION_FOLD_SEED
 from gradeframe.functions import scoring, text
 from gradeframe.operators import (
+    bins,
     boosting,
     ensemble,
     features,
@@ -321,22 +322,42 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hold-out kappa after every round, and the round that would be kept."""
     data = roles.boosting_rows(spark, sf_dir)
-    marked = materialize(data.join(splits.holdout_split(data.select("essay_id")), "essay_id"))
     forest, rounds = boosting.fit_with_early_stopping(
-        marked, boosting.SECOND.with_rounds(ROUNDS), len(roles.BOOSTING_FEATURES), QUERY_PATIENCE
+        splits.holdout_split(data), boosting.SECOND.with_rounds(ROUNDS), len(roles.BOOSTING_FEATURES), QUERY_PATIENCE
     )
     rows = [(i, kappa, i == rounds) for i, kappa in enumerate(forest.kappas, 1)]
     return spark.createDataFrame(rows, "round int, qwk double, best boolean")
 
 
-def boosting_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions after one round of one split, with class weights and both penalties."""
-    learner = boosting.Learner("first", 0.5, 1, 2.0, 0.1, 1.0, 1, 42)
-    data = roles.boosting_rows(spark, sf_dir, roles.STEP_FEATURES)
-    forest = boosting.fit(data, learner, len(roles.STEP_FEATURES))
+def bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper edges of the bins that all rounds use."""
+    data = roles.boosting_rows(spark, sf_dir)
+    return _rounded(bins.bin_edges(bins.value_sketch(data), data.count()), "upper")
+
+
+def _first_round(spark: SparkSession, sf_dir: str, max_depth: int, **more) -> DataFrame:
+    """Predictions after one round, with class weights and both penalties."""
+    learner = boosting.Learner("first", 0.5, max_depth, 2.0, 0.1, 1.0, 1, 42, **more)
+    data = roles.boosting_rows(spark, sf_dir)
+    forest = boosting.fit(data, learner, len(roles.BOOSTING_FEATURES))
     return _rounded(boosting.predict(data, forest).select("essay_id", "pred"), "pred")
 
 
+def boosting_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole tree of depth 3."""
+    return _first_round(spark, sf_dir, 3, max_leaves=8)
+
+
+def leafwise_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of three leaves: the better leaf of the first split is opened."""
+    return _first_round(spark, sf_dir, 5, max_leaves=3)
+
+
+def random_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with one random threshold per leaf and feature, 20 rows a leaf at least."""
+    return _first_round(spark, sf_dir, 5, max_leaves=10, min_rows=20, random_thresholds=True)
+
+
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blend of two fixed forests."""
     scored = training.blended(roles.boosting_rows(spark, sf_dir), roles.fixed_forests())
@@ -445,7 +466,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "submission": submission,
         "feature_topk": feature_topk,
         "feature_topk_cv": feature_topk_cv,
+        "bin_edges": bin_edges,
         "boosting_step": boosting_step,
+        "leafwise_step": leafwise_step,
+        "random_step": random_step,
         "forest_scores": forest_scores,
         "best_round": best_round,
         "boosted_scores": boosted_scores,

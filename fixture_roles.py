@@ -18,7 +18,6 @@ N_MODELS = 4
 N_CLASSES = 6
 BOOSTING_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice"]
 #: Few distinct values each, so every threshold between them is tried.
-STEP_FEATURES = ["l_linenumber", "l_discount"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -60,10 +60,11 @@ FEATURE_CAP = 13000
 BLEND_WEIGHTS = (0.76, 0.24)
 
 # --- The two learners: shrinkage, depth, L1 and L2 leaf penalties, share of the
-# features offered to each tree, most rounds, seed.
+# features offered to each tree, most rounds, seed, most leaves, random thresholds, least rows of a leaf.
 LEARNERS = {
     "first": dict(
-        learning_rate=0.05, max_depth=5, l1=2.0, l2=0.1, feature_share=0.3, max_rounds=700, seed=42
+        learning_rate=0.05, max_depth=5, l1=2.0, l2=0.1, feature_share=0.3, max_rounds=700, seed=42,
+        max_leaves=10, random_thresholds=True, min_rows=20,
     ),
     "second": dict(
         learning_rate=0.1, max_depth=5, l1=1.0, l2=0.1, feature_share=0.5, max_rounds=1024, seed=42

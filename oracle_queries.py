@@ -12,6 +12,7 @@ PARAGRAPH_GE = [0, 50, 75, 100, 125, 150, 175, 200, 250, 300, 350, 400, 500, 600
 PARAGRAPH_LE = [25, 49]
 SENTENCE_GE = [0, 15, 50, 100, 150, 200, 250, 300]
 SENTENCE_LE = [15, 50]
+BOOSTING_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice"]
 
 _STEPS = [
     (r"<[^\n]*?>", ""),
@@ -272,25 +273,76 @@ def _with(*ctes: str) -> str:
 
 # One round of one split. At the start every prediction is the centre, so the gradient
 # of a row is its distance from it by half the variance.
-_BOOSTING_STEP = f"""rows AS (
-  SELECT {_LINE_ID}, l_linenumber::DOUBLE AS f0, l_discount::DOUBLE AS f1,
-         least(6, greatest(1, round_even(l_quantity / 9, 0)))::INTEGER AS score FROM lineitem),
+def _boosting_rows(features: list[str]) -> str:
+    """Rows, class weights, fixed-point gradients of the first round, bin edges and codes."""
+    long = " UNION ALL ".join(f"SELECT essay_id, {i} AS f, {c}::DOUBLE AS v FROM rows" for i, c in enumerate(features))
+    return f"""rows AS (
+  SELECT {_LINE_ID}, {", ".join(features)}, least(6, greatest(1, round_even(l_quantity / 9, 0)))::INTEGER AS score FROM lineitem),
+n AS (SELECT count(*) AS n FROM rows),
 weights AS (
-  SELECT score, (SELECT count(*) FROM rows) / ((SELECT count(DISTINCT score) FROM rows) * count(*)) AS w
+  SELECT score, (SELECT n FROM n) / ((SELECT count(DISTINCT score) FROM rows) * count(*)) AS w
   FROM rows GROUP BY score),
-data AS (SELECT r.*, w, (2.998 - r.score) / (0.5 * 1.092) AS g FROM rows r JOIN weights USING (score)),
-long AS (SELECT 0 AS f, f0 AS v, g, w FROM data UNION ALL SELECT 1, f1, g, w FROM data),
-cells AS (SELECT f, v, sum(g * w) AS gw, sum(w) AS w FROM long GROUP BY f, v),
-cuts AS (
-  SELECT f, (v + lead(v) OVER o) / 2 AS cut, sum(gw) OVER o AS lg, sum(w) OVER o AS lw,
-         sum(gw) OVER (PARTITION BY f) AS tg, sum(w) OVER (PARTITION BY f) AS tw
-  FROM cells WINDOW o AS (PARTITION BY f ORDER BY v)),
-best AS (
-  SELECT * FROM cuts WHERE cut IS NOT NULL
-  ORDER BY lg * lg / lw + (tg - lg) * (tg - lg) / (tw - lw) DESC LIMIT 1),
-leaf AS (
-  SELECT f, cut, -0.5 * sign(lg) * greatest(abs(lg) - 2.0, 0) / (lw + 0.1) AS l,
-         -0.5 * sign(tg - lg) * greatest(abs(tg - lg) - 2.0, 0) / (tw - lw + 0.1) AS r FROM best)"""
+data AS (
+  SELECT essay_id, round((2.998::DOUBLE - score) / (0.5::DOUBLE * 1.092 * n) * n * w * 16777216)::BIGINT AS g,
+         round(w * 16777216)::BIGINT AS w FROM rows JOIN weights USING (score), n),
+long AS ({long}),
+sketch AS (
+  SELECT f, CASE WHEN v < 0 THEN -1 ELSE 1 END * ((abs(v)::BIT)::BIGINT >> 40) AS bucket, count(*) AS n, min(v) AS least, max(v) AS most
+  FROM long GROUP BY ALL),
+steps AS (
+  SELECT f, bucket, count(*) OVER (PARTITION BY f) AS buckets, (most + lead(least) OVER o) / 2 AS upper,
+    sum(n) OVER o * 128 // (SELECT n FROM n) > (sum(n) OVER o - n) * 128 // (SELECT n FROM n) AS quantile,
+    lead(n) OVER o * 128 >= (SELECT n FROM n) AS before_large
+  FROM sketch WINDOW o AS (PARTITION BY f ORDER BY bucket)),
+edges AS (
+  SELECT f, row_number() OVER (PARTITION BY f ORDER BY bucket) - 1 AS bin, upper
+  FROM steps WHERE upper IS NOT NULL AND (buckets <= 256 OR quantile OR before_large)),
+cuts AS (SELECT f, count(*) AS cuts FROM edges GROUP BY f),
+coded_values AS (
+  SELECT x.f, x.v, count(e.upper) AS bin FROM (SELECT DISTINCT f, v FROM long) x LEFT JOIN edges e ON e.f = x.f AND e.upper < x.v GROUP BY ALL),
+coded AS (SELECT essay_id, f, bin FROM long JOIN coded_values USING (f, v))"""
+
+
+def _boosting_round(features: list[str], rate: float, depth: int, l1: float, l2: float, leaves: int, least: int = 1, seed: int | None = None) -> str:
+    """Predictions after one round: the best leaf is opened, ``leaves`` - 1 times, from summed histograms.
+
+    With a ``seed``, each leaf looks at one threshold of a feature, drawn by seed, round, leaf and feature.
+    """
+
+    def share(g: str, w: str) -> str:
+        over = f"greatest(abs(({g}) / 16777216::DOUBLE) - {l1}::DOUBLE, 0)"
+        return f"{over} * {over} / (({w}) / 16777216::DOUBLE + {l2}::DOUBLE)"
+
+    ctes = [_boosting_rows(features), "leaf0 AS (SELECT essay_id, 1 AS leaf FROM rows)"]
+    drawn = "" if seed is None else (
+        f"""SELECT * REPLACE (drawn AS bin) FROM (
+      SELECT *, ('0x' || substr(md5('{seed}:1:' || leaf || ':' || f), 1, 8))::BIGINT % cuts AS drawn FROM sums{{i}} JOIN cuts USING (f))
+    WHERE bin <= drawn AND (next IS NULL OR next > drawn)"""
+    )
+    for i in range(1, leaves):
+        source = f"({drawn.format(i=i)})" if drawn else f"sums{i}"
+        ctes += [
+            f"""sums{i} AS (
+  SELECT leaf, f, bin, lead(bin) OVER o AS next, sum(g) OVER o AS lg, sum(w) OVER o AS lw, sum(n) OVER o AS ln,
+         sum(g) OVER a AS tg, sum(w) OVER a AS tw, sum(n) OVER a AS tn
+  FROM (SELECT leaf, f, bin, sum(g) AS g, sum(w) AS w, count(*) AS n
+        FROM leaf{i - 1} JOIN coded USING (essay_id) JOIN data USING (essay_id) WHERE leaf < {2 ** depth} GROUP BY ALL)
+  WINDOW o AS (PARTITION BY leaf, f ORDER BY bin), a AS (PARTITION BY leaf, f))""",
+            f"""best{i} AS (
+  SELECT leaf, f, bin, {share("lg", "lw")} + {share("tg - lg", "tw - lw")} - {share("tg", "tw")} AS gain
+  FROM {source} WHERE ln >= {least} AND tn - ln >= {least} ORDER BY gain DESC, leaf, f, bin LIMIT 1)""",
+            f"""leaf{i} AS (
+  SELECT l.essay_id, CASE WHEN b.leaf IS NULL THEN l.leaf ELSE 2 * l.leaf + (c.bin > b.bin)::INTEGER END AS leaf
+  FROM leaf{i - 1} l LEFT JOIN (SELECT * FROM best{i} WHERE gain > 1e-7) b ON b.leaf = l.leaf
+  LEFT JOIN coded c ON c.essay_id = l.essay_id AND c.f = b.f)""",
+        ]
+    g, w = "sum(g) / 16777216::DOUBLE", "sum(w) / 16777216::DOUBLE"
+    ctes.append(
+        f"""value AS (
+  SELECT leaf, -{rate}::DOUBLE * sign({g}) * greatest(abs({g}) - {l1}, 0) / ({w} + {l2}::DOUBLE) AS value
+  FROM leaf{leaves - 1} JOIN data USING (essay_id) GROUP BY leaf)"""
+    )
+    return _with(*ctes) + f"SELECT essay_id, round(value, 6) AS pred FROM leaf{leaves - 1} JOIN value USING (leaf)"
 
 
 def all_queries() -> dict[str, str]:
@@ -362,8 +414,10 @@ FROM (SELECT {CELL_COLUMNS}, f.fold = c.fold AS held_out
 GROUP BY ALL""",
         "confusion_matrix": _with(PAIRS) + "SELECT y, p, count(*) AS n FROM pairs GROUP BY ALL",
         "qwk": _with(PAIRS) + f"SELECT round(qwk, 6) AS qwk FROM ({_kappa('pairs', None)})",
-        "boosting_step": _with(_BOOSTING_STEP)
-        + "SELECT essay_id, round(CASE WHEN CASE f WHEN 0 THEN f0 ELSE f1 END <= cut THEN l ELSE r END, 6) AS pred FROM data, leaf",
+        "bin_edges": _with(_boosting_rows(BOOSTING_FEATURES)) + "SELECT f::INTEGER AS feature, bin::INTEGER AS bin, round(upper, 6) AS upper FROM edges",
+        "boosting_step": _boosting_round(BOOSTING_FEATURES, 0.5, 3, 2.0, 0.1, 8),
+        "leafwise_step": _boosting_round(BOOSTING_FEATURES, 0.5, 5, 2.0, 0.1, 3),
+        "random_step": _boosting_round(BOOSTING_FEATURES, 0.5, 5, 2.0, 0.1, 10, 20, 42),
         "forest_scores": f"""SELECT {_LINE_ID}, round(2.998
   + 0.76 * (CASE WHEN l_quantity <= 20 THEN -0.5 WHEN l_linenumber <= 3 THEN 0.25 ELSE 0.75 END
             + CASE WHEN l_extendedprice <= 30000 THEN 0.125 ELSE -0.25 END)
