@@ -135,10 +135,10 @@ class _Shard:
         self.new_piece = new
 
     def hashes(self) -> np.ndarray:
-        """One 64-bit hash for each word of a language."""
-        each = np.array([xxhash.xxh3_64_intdigest(w) for w in self.values.to_pylist()], dtype=np.uint64)
-        lang = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], dtype=np.uint64)
-        return _mixed(each + np.uint64(3) * lang[self.lang_of]) if len(each) else each
+        """One 64-bit hash for each word of a language, as ``xxhash64(lang, word)`` gives it."""
+        seeds = [xxhash.xxh64_intdigest(x, 42) for x in self.langs.to_pylist()]
+        words = zip(self.values.to_pylist(), self.lang_of.tolist())
+        return np.array([xxhash.xxh64_intdigest(w, seeds[i]) for w, i in words], dtype=np.uint64)
 
     def stream(self, kept: np.ndarray) -> np.ndarray:
         """Word numbers from 1 on, 0 for words that are not kept and after each piece."""
@@ -158,7 +158,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _pair_hashes(hashes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     first, second = hashes[pairs[:, 0] - 1], hashes[pairs[:, 1] - 1]
-    return _mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    # 48 bits, which shuffle as 6 bytes: pairs that share them only pass the filter together
+    return _mixed(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(16)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -172,16 +173,16 @@ def _shards(batches) -> Iterator[_Shard]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, w0, key, n``: how often each word occurs, and its hash."""
+    """``lang, w0, n``: how often each word occurs."""
 
     def run(batches):
         for shard in _shards(batches):
             every = np.arange(1, len(shard.values) + 1)[:, None]
             n = np.bincount(shard.number, minlength=len(every)) if len(shard.number) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict(shard.columns(every) | {"key": shard.hashes().view(np.int64), "n": n})
+            yield pa.RecordBatch.from_pydict(shard.columns(every) | {"n": n})
 
-    rows = _texts(docs).mapInArrow(run, "lang string, w0 string, key long, n long")
-    return rows.groupBy("lang", "w0", "key").agg(F.sum("n").alias("n"))
+    rows = _texts(docs).mapInArrow(run, "lang string, w0 string, n long")
+    return rows.groupBy("lang", "w0").agg(F.sum("n").alias("n"))
 
 
 def _pair_sums(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -246,7 +247,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     with stored_tables(docs.sparkSession):
         words = materialize(word_counts(docs))
         n = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        frequent = materialize(words.filter(F.col("n") >= least))
+        frequent = materialize(words.filter(F.col("n") >= least).withColumn("key", F.xxhash64("lang", "w0")))
         word_bits = bit_table(frequent, "key")
         pairs = materialize(_pair_sums(docs, word_bits).filter(F.col("n") >= least).select("key"))
         phrases = materialize(_phrase_sums(docs, word_bits, bit_table(pairs, "key"), 3).filter(F.col("n") >= least))
