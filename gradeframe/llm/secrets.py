@@ -2,9 +2,10 @@
 
 Everything is a column expression or a grouping. Base spans are the matches of three
 patterns. Two first-order Markov models of characters, one of random strings and one of
-ordinary identifiers, are trained from labelled samples. Runs of identifier characters are
+ordinary identifiers, are trained from labelled samples; periodic runs are a third class, whose chain
+is that of the run itself. Runs of identifier characters are
 cut at the base spans; every piece of ``RUN_LENGTH`` or more is a span of kind ``random`` if
-the log-likelihood ratio of the two models exceeds ``THRESHOLD``.
+its log-likelihood ratio, random against the likelier of the others, exceeds ``THRESHOLD``.
 
 The query's labelled samples come from the documents: the values of base matches are
 random strings, long runs without a digit are ordinary. At most ``SAMPLE_VALUES`` distinct
@@ -40,6 +41,9 @@ ALPHABET = 66
 #: Share of each model that is uniform, so that no character is impossible.
 UNIFORM = {True: 0.5, False: 0.1}
 
+#: Share of a periodic run's pairs that may be new.
+NEW_PAIR = 0.1
+
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 def _none() -> Column:
     return F.array().cast(SPAN)
@@ -119,12 +123,16 @@ def _pairs(value: Column, of_pair) -> Column:
     return F.zip_with(first, F.slice(characters, 2, F.size(first)), of_pair)
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of ASCII characters, at ``128 * first + second``.
+class Models(list):
+    """Log-likelihood ratio of each pair of ASCII characters, at ``128 * first + second``; ``random`` has
+    the logarithms under the model of random strings alone."""
 
-    ``samples`` has ``value`` and ``secret``. Characters outside ASCII are not counted.
-    """
-    pairs = samples.select("secret", F.explode(_pairs(F.col("value"), F.concat)).alias("pair"))
+    random: list[float]
+
+
+def train(samples: DataFrame) -> Models:
+    """The two models, from ``samples`` with ``value`` and ``secret``. Characters outside ASCII are not counted."""
+    pairs = samples.select("secret", F.explode(_pairs(F.col("value"), lambda a, b: F.concat(a, b))).alias("pair"))
     pairs = pairs.filter(r"pair rlike '^[\\x00-\\x7F]{2}$'")
     counts = pairs.groupBy("secret", "pair").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 128 * 128 rows
     seen: dict[tuple[bool, str], int] = {}
@@ -145,28 +153,41 @@ def train(samples: DataFrame) -> list[float]:
         uniform = UNIFORM[secret]
         return math.log((1 - uniform) * share + uniform / ALPHABET)
 
-    ratios = [0.0] * (128 * 128)
+    ratios = Models([0.0] * (128 * 128))
+    ratios.random = [0.0] * (128 * 128)
     if all(any(s == label for s, _ in seen) for label in (True, False)):
         for a in range(128):
             for b in range(128):
                 pair = chr(a) + chr(b)
-                ratios[128 * a + b] = log_probability(True, pair) - log_probability(False, pair)
+                ratios.random[128 * a + b] = log_probability(True, pair)
+                ratios[128 * a + b] = ratios.random[128 * a + b] - log_probability(False, pair)
     return ratios
 
 
-def log_likelihood_ratio(value: Column, ratios: list[float]) -> Column:
-    """Sum over the character pairs of ``value``, which is ASCII."""
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    ratio = _pairs(value, lambda a, b: F.element_at(table, F.ascii(a) * 128 + F.ascii(b) + 1))
-    return F.aggregate(ratio, F.lit(0.0), lambda s, x: s + x)
-
+def log_likelihood_ratio(value: Column, models: Models) -> Column:
+    """Random against what is likelier of an ordinary identifier and a periodic run, over all character pairs.
 
-def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    A periodic run (a ruled line, a repeated word) is a chain of its own: a pair that is new in the value has the
+    share ``NEW_PAIR`` of the alphabet's; a pair seen before has the rest, divided by the square of how many
+    followers a character of the value has on average, so that a chain without a period is unlikely.
+    """
+    table = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    pairs = _pairs(value, lambda a, b: F.ascii(a) * 128 + F.ascii(b))
+    total = lambda values: F.aggregate(F.transform(pairs, lambda p: F.element_at(table(values), p + 1)), F.lit(0.0), lambda s, x: s + x)
+    distinct = F.array_distinct(pairs)
+    again, new = F.size(pairs) - F.size(distinct), F.size(distinct)
+    firsts = F.size(F.array_distinct(F.transform(distinct, lambda p: F.floor(p / 128))))
+    followers = F.greatest(new, F.lit(1)) / F.greatest(firsts, F.lit(1))
+    periodic = again * F.log((1 - NEW_PAIR) / (followers * followers)) + new * math.log(NEW_PAIR / ALPHABET)
+    return F.least(total(models), total(models.random) - periodic)
+
+
+def scan(docs: DataFrame, models: Models, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (which has ``text``) with ``base`` and ``spans``: arrays of start, kind and end."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumn("base", base_spans(text)).withColumn("runs", _spans(text, RUN, 3))
     pieces = F.flatten(F.transform("runs", lambda run: _outside(run, F.col("base"))))
-    random = F.filter(pieces, lambda s: log_likelihood_ratio(_cut(text, s), ratios) > threshold)
+    random = F.filter(pieces, lambda s: log_likelihood_ratio(_cut(text, s), models) > threshold)
     spans = F.array_sort(F.concat("base", random))
     return found.withColumn("spans", spans).drop("runs")
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -348,3 +349,31 @@ def test_language_id(spark, make_docs, odd_rows):
     assert by_id[7]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in by_id.values())
     assert {r["lang_pred"] for r in language_id.identify(make_docs(*odd_rows)).collect()} == {"und"}
     assert language_id.identify(make_docs()).count() == 0
+
+
+def test_secret_ratios_equal_plain_python(spark, samples):
+    """All pairs count; a periodic run is no evidence, a long random one is."""
+    models = secrets.train(samples)
+    rng = random.Random(9)
+    values = ["x" * 3000, "-=" * 40, "abc" * 30, "".join(rng.choice("0123456789abcdef") for _ in range(3000)), "internationalization", "ab", "a", "xK9dLp2QmZ7vRt4WbY8sHn3J"]
+
+    def plain(value):
+        pairs = [128 * ord(a) + ord(b) for a, b in zip(value, value[1:])]
+        new = len(set(pairs))
+        followers = max(1, new) / max(1, len({p // 128 for p in pairs}))
+        again = len(pairs) - new
+        periodic = again * math.log((1 - secrets.NEW_PAIR) / followers**2) + new * math.log(secrets.NEW_PAIR / secrets.ALPHABET)
+        return min(sum(models[p] for p in pairs), sum(models.random[p] for p in pairs) - periodic)
+
+    frame = spark.createDataFrame([(v,) for v in values], "value string")
+    found = [r[0] for r in frame.select(secrets.log_likelihood_ratio(frame["value"], models)).collect()]
+    assert [x or 0.0 for x in found] == pytest.approx([plain(v) for v in values])
+    assert [x > secrets.THRESHOLD for x in map(plain, values)] == [False, False, False, True, False, False, False, True]
+
+
+def test_a_very_long_run_takes_linear_time(make_docs, samples):
+    rng = random.Random(10)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    start = time.time()
+    row = secrets.find_secrets(make_docs((1, text)), samples).first()
+    assert [(s["start"], s["end"]) for s in row["spans"] if s["kind"] == 3] and time.time() - start < 120
