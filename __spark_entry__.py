@@ -30,7 +30,7 @@ from gradeframe.operators import (
     splits,
 )
 from gradeframe.plans import inference, mart, training
-from gradeframe.session import materialize
+from gradeframe.session import materialize, share_code
 from gradeframe.sources import tables
 
 try:
@@ -181,35 +181,35 @@ def _vocabulary(vec: ngrams.Vectorizer):
     return query
 
 
-def _digest(cells: DataFrame, *more: str) -> DataFrame:
-    """One row per essay and vocabulary over all of its cells, a few thousand each."""
-    keys = ["fold", "essay_id", "vectorizer", *more]
-    sums = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.sum("term_idx").alias("idx_sum"),
-        F.sum("value").alias("value_sum"),
-        F.sum(F.col("value") * F.col("term_idx")).alias("idx_value_sum"),
-        F.max("value").alias("value_max"),
+def _digest(arrays: DataFrame, *more: str) -> DataFrame:
+    """One row per essay and vocabulary over all of its cells, a few thousand each, from its own arrays."""
+    products = F.zip_with("value", "term_idx", lambda v, i: v * i)
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    return arrays.select(
+        "fold",
+        "essay_id",
+        "vectorizer",
+        *more,
+        F.size("value").cast("long").alias("n_terms"),
+        F.aggregate("term_idx", F.lit(0).cast("long"), lambda s, i: s + i).alias("idx_sum"),
+        F.round(total("value"), 6).alias("value_sum"),
+        F.round(total(products), 3).alias("idx_value_sum"),
+        F.round(F.array_max("value"), 6).alias("value_max"),
     )
-    return sums.withColumn("idx_value_sum", F.round("idx_value_sum", 3)).withColumns(
-        {c: F.round(c, 6) for c in ("value_sum", "value_max")}
-    )
-
 
-def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    essays = roles.essays(spark, sf_dir).select("essay_id", "full_text")
-    return _digest(ngrams.transform(essays, ngrams.fit(essays, ngrams.TFIDF), ngrams.TFIDF))
 
+def _features(vec: ngrams.Vectorizer):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        essays = roles.essays(spark, sf_dir).select("essay_id", "full_text")
+        return _digest(ngrams.meta_arrays(essays, {vec: ngrams.fit(essays, vec)}))
 
-def count_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    essays = roles.essays(spark, sf_dir).select("essay_id", "full_text")
-    return ngrams.transform(essays, ngrams.fit(essays, ngrams.COUNT), ngrams.COUNT)
+    return query
 
 
 def tfidf_transform_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _fold_texts(spark, sf_dir)
     vocabulary = ngrams.fit(texts, ngrams.TFIDF, by_fold=True)
-    return _digest(ngrams.transform(texts, vocabulary, ngrams.TFIDF, held_out=True))
+    return _digest(ngrams.meta_arrays(texts, {ngrams.TFIDF: vocabulary}, held_out=True))
 
 
 def count_transform_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ def count_transform_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _fold_texts(spark, sf_dir)
     vocabularies = {vec: ngrams.fit(texts, vec, by_fold=True) for vec in mart.VECTORIZERS}
-    return _digest(ngrams.meta_features(texts, vocabularies), "held_out")
+    return _digest(ngrams.meta_arrays(texts, vocabularies), "held_out")
 
 
 # --- metrics and objective ----------------------------------------------------------
@@ -393,9 +393,10 @@ def _cross_validated(spark: SparkSession, sf_dir: str):
     folds = mart.fold_assignment(roles.essay_keys(spark, sf_dir))
     table = materialize(_mart(spark, sf_dir).join(folds.select("essay_id", "fold"), "essay_id"))
     blocks = mart.fit_blocks(mart.fold_texts(essays, folds))
+    counted = mart.with_counts(table, features.ESSAY_FEATURES, blocks)
 
     def prepare(fold: int):
-        return training.fold_vectors(table, features.ESSAY_FEATURES, blocks, fold, ["essay_id", "score", "fold"])
+        return training.fold_vectors(counted, features.ESSAY_FEATURES, blocks, fold, ["essay_id", "score", "fold"])
 
     learners = [learner.with_rounds(FEW_ROUNDS) for learner in (boosting.FIRST, boosting.SECOND)]
     result = training.cross_validate(prepare, range(N_FOLDS), learners, selection_rounds=FEW_ROUNDS, parallelism=N_FOLDS)
@@ -410,8 +411,7 @@ def cv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Essays scored by the stored vocabularies and models of all folds."""
     essays, table, blocks, result = _cross_validated(spark, sf_dir)
-    vocabularies = {block.vec: block.vocabulary for block in blocks}
-    per_fold = inference.score_per_fold(essays, table, features.ESSAY_FEATURES, vocabularies, result.models)
+    per_fold = inference.score_per_fold(essays, table, features.ESSAY_FEATURES, blocks.vocabularies, result.models)
     return inference.final_scores(per_fold)
 
 
@@ -420,8 +420,16 @@ def entry(spark: SparkSession) -> DataFrame:
     return essay_features(spark, "/root/testdata/sf0.001")
 
 
+def _shared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_code(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return (llm_queries.queries() if llm_queries else {}) | {
+    own = {
         "essay_scan": essay_scan,
         "vocab_scan": vocab_scan,
         "clean_text": _on_text(text.clean, "cleaned"),
@@ -445,8 +453,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_n": sample_n,
         "tfidf_vocab": _vocabulary(ngrams.TFIDF),
         "count_vocab": _vocabulary(ngrams.COUNT),
-        "tfidf_features": tfidf_features,
-        "count_features": count_features,
+        "tfidf_features": _features(ngrams.TFIDF),
+        "count_features": _features(ngrams.COUNT),
         "tfidf_transform_valid": tfidf_transform_valid,
         "count_transform_valid": count_transform_valid,
         "meta_features": meta_features,
@@ -478,6 +486,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cv_report": cv_report,
         "scored_submission": scored_submission,
     }
+    return (llm_queries.queries() if llm_queries else {}) | {name: _shared(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:

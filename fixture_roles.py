@@ -116,7 +116,7 @@ def boosting_rows(spark: SparkSession, sf_dir: str, names: list[str] = BOOSTING_
         scoring.clip_round(F.col("l_quantity") / 9).alias("score"),
         *[F.col(c).cast("double").alias(c) for c in names],
     )
-    return vectors.sparse_vectors(rows, names, None, {}, ["essay_id", "score"])
+    return vectors.dense_vectors(rows, names, ["essay_id", "score"])
 
 
 def round_predictions(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:

@@ -19,7 +19,7 @@ _scratch_lock = threading.Lock()
 
 def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
     """Session for tests and single-machine benchmarks."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("gradeframe")
         .config("spark.sql.shuffle.partitions", "8")
@@ -29,6 +29,8 @@ def local_session(cores: int | str = 8, memory: str = "16g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    share_code(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:

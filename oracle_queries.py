@@ -395,7 +395,7 @@ FROM essays GROUP BY score""",
         "tfidf_features": _with(ESSAYS, TFIDF_RUNS, _vocabulary("t", 0.05, 0.95, False), _cells("t", "tfid", True))
         + f"SELECT fold, essay_id, vectorizer, {DIGEST} FROM t_cells GROUP BY ALL",
         "count_features": _with(ESSAYS, COUNT_RUNS, _vocabulary("c", 0.10, 0.85, False), _cells("c", "tfid_cnt", False))
-        + "SELECT * FROM c_cells",
+        + f"SELECT fold, essay_id, vectorizer, {DIGEST} FROM c_cells GROUP BY ALL",
         "tfidf_transform_valid": _with(*tfidf_folds, _cells("t", "tfid", True))
         + f"""SELECT fold, essay_id, vectorizer, {DIGEST}
 FROM (SELECT {CELL_COLUMNS} FROM t_cells c JOIN folds f ON f.essay_id = c.essay_id AND f.fold = c.fold) GROUP BY ALL""",
