@@ -30,7 +30,7 @@ from gradeframe.operators import (
     splits,
 )
 from gradeframe.plans import inference, mart, training
-from gradeframe.session import materialize, share_code
+from gradeframe.session import materialize, share_code, shared_subfolder
 from gradeframe.sources import tables
 
 try:
@@ -57,8 +57,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in names or df.columns if name != "essay_id"})
 
 
-def _long_probabilities(df: DataFrame) -> DataFrame:
-    long = df.select("essay_id", F.posexplode("probs").alias("class", "prob"))
+def _long_probabilities(df: DataFrame, *more: str) -> DataFrame:
+    long = df.select("essay_id", *more, F.posexplode("probs").alias("class", "prob"))
     return _rounded(long, "prob")
 
 
@@ -249,8 +249,10 @@ def fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oof_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = roles.score_pairs(spark, sf_dir)
-    parts = [splits.fold_side(pairs, i, held_out=True) for i in range(5)]
+    """Each fold's scores from its own folder, as the models of the folds write them."""
+    path = shared_subfolder(spark)
+    tables.write_by_fold(roles.score_pairs(spark, sf_dir), path)
+    parts = [tables.read_fold(spark, path, i, held_out=True) for i in range(N_FOLDS)]
     return metrics.confusion_matrix(ensemble.append_folds(parts), by=["fold"])
 
 
@@ -266,7 +268,7 @@ def qwk_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def softmax_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long_probabilities(roles.model_probabilities(spark, sf_dir, n_models=1))
+    return _long_probabilities(roles.model_probabilities(spark, sf_dir), "model")
 
 
 def prob_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +366,14 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored.select("essay_id", "y_pred"), "y_pred")
 
 
+def split_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of two fixed forests by feature, and the rows that reach them."""
+    forests = {0: roles.fixed_forests()}
+    nodes = boosting.forest_rows(spark, forests)
+    visits = boosting.node_visits(roles.boosting_rows(spark, sf_dir), forests)
+    return selection.importance_rows(nodes, roles.BOOSTING_FEATURES, visits=visits)
+
+
 def best_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kappa per round, and the round that early stopping keeps."""
     cells = metrics.confusion_matrix(roles.round_predictions(spark, sf_dir, rounds=6), by=["round"])
@@ -479,6 +489,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "leafwise_step": leafwise_step,
         "random_step": random_step,
         "forest_scores": forest_scores,
+        "split_importance": split_importance,
         "best_round": best_round,
         "boosted_scores": boosted_scores,
         "early_stopping": early_stopping,

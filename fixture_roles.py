@@ -14,10 +14,10 @@ from gradeframe.sources import tables
 
 # ``documents`` has no blank lines, so its paragraphs are its lines.
 SEPARATOR = "\n"
-N_MODELS = 4
+#: Ten models of six classes read 60 of the 64 values of an embedding; the last four do not divide.
+N_MODELS = 10
 N_CLASSES = 6
 BOOSTING_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice"]
-#: Few distinct values each, so every threshold between them is tried.
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +94,7 @@ def learner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_probabilities(spark: SparkSession, sf_dir: str, n_models: int = N_MODELS) -> DataFrame:
+def model_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(essay_id, model, probs)``: softmax of the slices of ``embeddings``."""
     start = F.col("model") * N_CLASSES + 1
     logits = (
@@ -102,7 +102,7 @@ def model_probabilities(spark: SparkSession, sf_dir: str, n_models: int = N_MODE
         .select(
             F.col("vec_id").alias("essay_id"),
             "embedding",
-            F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))).alias("model"),
+            F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("model"),
         )
         .select("essay_id", "model", F.slice("embedding", start, F.lit(N_CLASSES)).alias("logits"))
     )

@@ -422,6 +422,10 @@ GROUP BY ALL""",
   + 0.76 * (CASE WHEN l_quantity <= 20 THEN -0.5 WHEN l_linenumber <= 3 THEN 0.25 ELSE 0.75 END
             + CASE WHEN l_extendedprice <= 30000 THEN 0.125 ELSE -0.25 END)
   + 0.24 * CASE WHEN l_quantity <= 35.5 THEN -1.0 ELSE 1.5 END, 6)::DOUBLE AS y_pred FROM lineitem""",
+        "split_importance": """SELECT 0 AS fold, feature, position, splits::DOUBLE AS importance, rows::BIGINT AS rows FROM (
+  SELECT 'l_linenumber' AS feature, 0 AS position, 1 AS splits, count(*) FILTER (l_quantity > 20) AS rows FROM lineitem
+  UNION ALL SELECT 'l_quantity', 1, 2, 2 * count(*) FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', 2, 1, count(*) FROM lineitem)""",
         "best_round": f"""WITH steps AS (SELECT unnest(range(1, 7)) AS round),
 pairs AS (
   SELECT s.round AS fold, least(6, greatest(1, round_even(l_quantity / 9, 0)))::INTEGER AS y,
@@ -450,9 +454,9 @@ UNION ALL SELECT 'pooled', -1, (SELECT round(f1, 6) FROM ({_f1('pairs', None)}))
         + """SELECT essay_id, y, round(p, 6) AS p,
        round(((c - y) / g - f * (c - 2.998::DOUBLE) / (g * g)) * n, 6) AS grad, 1.0::DOUBLE AS hess
 FROM clipped, sums""",
-        "softmax_probs": _with(_logits(1)) + "SELECT essay_id, class, round(prob, 6) AS prob FROM probs",
-        "prob_ensemble": _with(_logits(4)) + "SELECT essay_id, class, round(prob, 6) AS prob FROM mean_probs",
-        "attach_probs": _with(ESSAYS, _logits(4))
+        "softmax_probs": _with(_logits(10)) + "SELECT essay_id, model::INTEGER AS model, class, round(prob, 6) AS prob FROM probs",
+        "prob_ensemble": _with(_logits(10)) + "SELECT essay_id, class, round(prob, 6) AS prob FROM mean_probs",
+        "attach_probs": _with(ESSAYS, _logits(10))
         + "SELECT e.essay_id, e.score, "
         + ", ".join(f"round(max(m.prob) FILTER (m.class = {i}), 6) AS prob_{i}" for i in range(6))
         + " FROM essays e LEFT JOIN mean_probs m ON m.essay_id = e.essay_id GROUP BY e.essay_id, e.score",
