@@ -93,9 +93,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    essays = roles.essays(spark, sf_dir)
-    errors = spelling.spelling_errors(essays, roles.word_list(spark, sf_dir), roles.SEPARATOR)
-    return pieces.paragraph_rows(essays, roles.SEPARATOR).join(errors, ["essay_id", "pos"], "left")
+    return spelling.paragraph_rows(roles.essays(spark, sf_dir), roles.word_list(spark, sf_dir), roles.SEPARATOR)
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
