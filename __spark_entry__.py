@@ -30,7 +30,7 @@ from gradeframe.operators import (
     splits,
 )
 from gradeframe.plans import inference, mart, training
-from gradeframe.session import materialize, share_code, shared_subfolder
+from gradeframe.session import materialize, share_code, shared_subfolder, stored_tables
 from gradeframe.sources import tables
 
 try:
@@ -315,7 +315,9 @@ def feature_topk_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = roles.boosting_rows(spark, sf_dir)
     width = len(roles.BOOSTING_FEATURES)
-    forests = [boosting.fit(data, learner.with_rounds(ROUNDS), width) for learner in (boosting.FIRST, boosting.SECOND)]
+    with stored_tables(spark):
+        coded = boosting.code_rows(data, width)
+        forests = boosting.fit_each(coded, [x.with_rounds(ROUNDS) for x in (boosting.FIRST, boosting.SECOND)], width)
     return training.blended(data, forests).select("essay_id", "score", "y_pred")
 
 
@@ -390,7 +392,7 @@ def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = splits.stratified_folds(data.select("essay_id", "score"), seed=SELECTION_FOLD_SEED)
     marked = materialize(data.join(folds.select("essay_id", "fold"), "essay_id"))
     importances, _ = training.selection_run(
-        marked, roles.BOOSTING_FEATURES, range(N_FOLDS), boosting.SELECTION.with_rounds(FEW_ROUNDS)
+        marked, roles.BOOSTING_FEATURES, range(N_FOLDS), boosting.SELECTION.with_rounds(FEW_ROUNDS), parallelism=N_FOLDS
     )
     return selection.top_features(importances)
 
