@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,10 +146,13 @@ class _Shard:
         number = np.where(kept[self.number], self.number + 1, 0) if len(self.number) else self.number
         return np.append(np.insert(number, np.flatnonzero(self.new_piece), 0)[1:], 0)
 
-    def columns(self, words: np.ndarray) -> dict[str, pa.Array]:
-        lang = self.langs.take(pa.array(self.lang_of[words[:, 0] - 1]))
-        named = {f"w{i}": self.values.take(pa.array(words[:, i] - 1)).cast(pa.binary()).cast(pa.string()) for i in range(words.shape[1])}
-        return {"lang": lang, **named}
+    def phrases(self, words: np.ndarray) -> pa.Array:
+        """Phrases as one text each, the words, a tab and the language: what is shuffled is little more than that."""
+        parts = [self.values.take(pa.array(words[:, i] - 1)) for i in range(words.shape[1])]
+        joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+        lang = self.langs.take(pa.array(self.lang_of[words[:, 0] - 1])).cast(pa.string()).cast(pa.large_string()).cast(pa.large_binary())
+        whole = pc.binary_join_element_wise(joined, lang, pa.scalar(b"\t", pa.large_binary()))
+        return whole.cast(pa.binary()).cast(pa.string())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -179,10 +183,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for shard in _shards(batches):
             every = np.arange(1, len(shard.values) + 1)[:, None]
             n = np.bincount(shard.number, minlength=len(every)) if len(shard.number) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict(shard.columns(every) | {"n": n})
+            yield pa.RecordBatch.from_pydict({"phrase": shard.phrases(every), "n": n})
 
-    rows = _texts(docs).mapInArrow(run, "lang string, w0 string, n long")
-    return rows.groupBy("lang", "w0").agg(F.sum("n").alias("n"))
+    return _summed(_texts(docs).mapInArrow(run, "phrase string, n long"), 1)
+
+
+def _summed(rows: DataFrame, longest: int) -> DataFrame:
+    """Counts of equal phrases, with the language and the words (null beyond the last one) apart."""
+    sums = rows.groupBy("phrase").agg(F.sum("n").alias("n"))
+    words = F.split(F.substring_index("phrase", "\t", 1), " ")
+    lang = F.expr("substring(phrase, instr(phrase, '\\t') + 1)").alias("lang")
+    return sums.select(lang, *[F.get(words, F.lit(i)).alias(f"w{i}") for i in range(longest)], "n")
 
 
 def _pair_sums(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -219,12 +230,9 @@ def _phrase_sums(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest:
                 kept = known[at] == head if len(known) else np.zeros(0, dtype=bool)
                 found.append(Level(*(x[kept] for x in three)))
             for level in found:
-                named = shard.columns(level.words)
-                named.setdefault("w2", pa.nulls(len(level.count), pa.string()))
-                yield pa.RecordBatch.from_pydict(named | {"n": level.count})
+                yield pa.RecordBatch.from_pydict({"phrase": shard.phrases(level.words), "n": level.count})
 
-    rows = _texts(docs).mapInArrow(run, "lang string, w0 string, w1 string, w2 string, n long")
-    return rows.groupBy("lang", "w0", "w1", "w2").agg(F.sum("n").alias("n"))
+    return _summed(_texts(docs).mapInArrow(run, "phrase string, n long"), longest)
 
 
 def _scored(candidates: DataFrame, *cuts) -> DataFrame:
