@@ -4,6 +4,8 @@ Every node points to the smallest neighbour it knows; a large-star step links th
 neighbours of a node to that smallest one, a small-star step the smaller ones. Links never
 grow in number, and the steps needed grow with the logarithm of a component's size. Each
 round is written to the shared folder, so that lineage stays short when executors are lost.
+
+Links to itself or with a null end say nothing, repeated links count once. Without links there are no rows.
 """
 
 from __future__ import annotations

@@ -212,3 +212,20 @@ def test_pipeline(spark, tiny_dir):
             assert all(after[i] == seen[i] for i in after)
     packed = corpus_pipeline.run(spark, tiny_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_on_odd_and_empty_tables(spark, make_docs, odd_rows, tmp_path, rows):
+    """Nulls in any column, repeated rows, clashing column names, and no rows at all."""
+    docs = make_docs(*odd_rows)
+    (docs if rows == "odd" else docs.limit(0)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 1, 0), (7, 0, 1), (8, None, 0), (None, 0, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "no such words are in any of these texts here")], "item_id long, text string")
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs if rows == "odd" else docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, kept, str(tmp_path)).columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} <= {i for i, *_ in odd_rows}
+    assert rows == "odd" or packed == []
