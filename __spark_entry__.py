@@ -36,9 +36,7 @@ from gradeframe.sources import tables
 try:
     import corpus_pipeline  # noqa: F401
     from gradeframe.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "gradeframe.llm"):
-        raise
+except ImportError:  # the package, or a library that only it needs, is not there
     llm_queries = None
 
 # Rounds of the boosting queries, and the rounds without a rise after which a fit stops, are

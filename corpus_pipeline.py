@@ -4,6 +4,10 @@ Every stage works on all rows its predecessor kept. All but the last return the
 ``documents``: toxic documents go, one document of each near-duplicate group stays,
 documents that hold a benchmark window go, and secrets are masked in the text. The last
 one packs the tokens of what is left.
+
+Null and empty texts are not toxic, hold no benchmark window and no secret; the near-dedup stage links all texts
+without words, so one of them stays. Rows with a null id pass like any other. Repeated rows are near copies of each
+other. Columns beyond those of ``documents``, whatever their names, stay up to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
