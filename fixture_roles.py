@@ -33,7 +33,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` scored 1 to 6 by their length."""
-    return _documents(spark, sf_dir)
+    return tables.spread(_documents(spark, sf_dir))
 
 
 def essay_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,17 +17,30 @@ ESSAY_SCHEMA = StructType(
     [StructField("essay_id", StringType()), StructField("full_text", StringType()), StructField("score", IntegerType())]
 )
 TEST_SCHEMA = StructType(ESSAY_SCHEMA.fields[:2])
+#: Scans of fewer bytes for each core are dealt out over all cores.
+SMALL_SCAN = 16 << 20
 PROBABILITY_SCHEMA = StructType(
     [StructField("essay_id", StringType()), StructField("probs", ArrayType(DoubleType()))]
 )
 
 
 def read_essays(spark: SparkSession, path: str, scored: bool = True) -> DataFrame:
-    """Essay CSV with a header; texts may hold newlines and doubled quotes."""
+    """Essay CSV with a header; texts may hold newlines and doubled quotes. A file is one task: write large corpora in many."""
     schema = ESSAY_SCHEMA if scored else TEST_SCHEMA
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` dealt out over all cores if it is so small that its files may be fewer tasks than those.
+
+    A file of one row group is one task, whatever it holds. Large scans have tasks enough and are left as they are,
+    so nothing above ``SMALL_SCAN`` bytes a core is ever shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(cores) if size < cores * SMALL_SCAN else scan
+
+
 def with_paragraphs(essays: DataFrame, separator: str = PARAGRAPH_SEPARATOR) -> DataFrame:
     return essays.withColumn("paragraph", text.split_on(F.col("full_text"), separator))
 

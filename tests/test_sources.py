@@ -102,3 +102,12 @@ def test_stored_tables_go_with_their_scope(spark):
     table = materialize(spark.range(2))
     release(table)
     assert stored(spark) == before
+
+
+def test_only_small_scans_are_spread(spark, tmp_path, monkeypatch):
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = spark.read.parquet(str(tmp_path / "one"))
+    dealt = tables.spread(scan)
+    assert dealt.count() == 50 and dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "SMALL_SCAN", 0)
+    assert "Exchange" not in tables.spread(scan)._jdf.queryExecution().executedPlan().toString()
