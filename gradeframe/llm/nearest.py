@@ -5,12 +5,14 @@ columns of a difference are a fair sample of the whole. The index has one list f
 bounded sample; every vector is in the list of its nearest centroid, and lists are cut
 into blocks of at most about ``BLOCK_ROWS`` by a hash of the id, so a popular list is many tasks.
 A query probes the lists whose centroids are nearest, as many as hold the share ``recall`` of
-the neighbours of ``TRIAL_QUERIES`` sampled vectors within the sample.
+the neighbours of ``TRIAL_QUERIES`` sampled vectors within the sample, and on until they hold k ids beside its own.
 
-A task compares one block with the queries that probe it. It scans the rotated columns
+A task compares one block with one block of the queries that probe its list; a list's rows are repeated only for
+its own queries' blocks. It scans the rotated columns
 ``STRIDE`` at a time: after each stride a candidate is abandoned if its partial distance,
 scaled up to all columns, exceeds the query's present k-th distance so far that a normal
-test (``EPSILON`` deviations) rejects that it is nearer. The cosine of survivors is computed
+test (``EPSILON`` deviations) rejects that it is nearer. Rows come in chunks, and the k-th distance is
+that of all chunks before. The cosine of survivors is computed
 on the original vectors in double precision. The best k of all blocks are the result.
 
 Rows with a null id, and vectors that are null, empty, zero, or hold a null or non-finite
@@ -35,6 +37,8 @@ MAX_LISTS = 4_096
 SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 4_096
+#: Most rows of a block that are compared before the bounds are tightened.
+CHUNK_ROWS = 2_048
 TRIAL_QUERIES = 500
 RECALL = 0.97
 STRIDE = 16
@@ -96,43 +100,67 @@ def needed_probes(sample: np.ndarray, centroids: np.ndarray, k: int, recall: flo
 
 
 def scan_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """Query index, candidate index and cosine of the candidates that survive."""
+    """Query index, candidate index and cosine of each query's k best other ids among those that survive."""
     size = vectors.shape[1]
     turn = rotation(size)
     rows, asked = _unit(vectors) @ turn, _unit(queries) @ turn
-    # the k-th distance of a first few candidates bounds that of all
-    first = min(len(rows), max(4 * k, 64))
-    start = 2 - 2 * asked @ rows[:first].T
-    start[query_ids[:, None] == ids[None, :first]] = np.inf
-    bound = np.sort(start, axis=1)[:, min(k, first) - 1] if first >= k else np.full(len(asked), np.inf)
-    bound = bound * (1 + 1e-9) + 1e-9
+    row_lengths, query_lengths = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (vectors, queries))
     stride = min(STRIDE, size)
-    partial = (
-        (asked[:, :stride] ** 2).sum(axis=1)[:, None]
-        + (rows[:, :stride] ** 2).sum(axis=1)[None, :]
-        - 2 * asked[:, :stride] @ rows[:, :stride].T
-    )
+    head = (asked[:, :stride] ** 2).sum(axis=1)[:, None]
     allowed = lambda d: (d / size) * (1 + EPSILON / np.sqrt(d)) ** 2 if d < size else 1.0
-    q, c = np.nonzero((partial <= (bound * allowed(stride))[:, None] + 1e-9) & (query_ids[:, None] != ids[None, :]))
-    partial = partial[q, c]
-    for done in range(stride, size, STRIDE):
-        upto = min(done + STRIDE, size)
-        partial = partial + ((asked[q, done:upto] - rows[c, done:upto]) ** 2).sum(axis=1)
-        near = partial <= bound[q] * allowed(upto) + 1e-9
-        q, c, partial = q[near], c[near], partial[near]
-    length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m))
-    dots = np.einsum("ij,ij->i", queries[q], vectors[c])
-    return q, c, dots / (length(queries)[q] * length(vectors)[c])
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    bound = np.full(len(asked), np.inf)
+    at, step = 0, max(4 * k, 64)
+    while at < len(rows):
+        some = rows[at : at + step]
+        partial = head + (some[:, :stride] ** 2).sum(axis=1)[None, :] - 2 * asked[:, :stride] @ some[:, :stride].T
+        open_ = partial <= (bound * allowed(stride))[:, None] + 1e-9
+        q, c = np.nonzero(open_ & (query_ids[:, None] != ids[None, at : at + step]))
+        partial = partial[q, c]
+        for done in range(stride, size, STRIDE):
+            upto = min(done + STRIDE, size)
+            partial = partial + ((asked[q, done:upto] - some[c, done:upto]) ** 2).sum(axis=1)
+            near = partial <= bound[q] * allowed(upto) + 1e-9
+            q, c, partial = q[near], c[near], partial[near]
+        c = c + at
+        score = np.einsum("ij,ij->i", queries[q], vectors[c]) / (query_lengths[q] * row_lengths[c])
+        q, c, score = (np.concatenate(x) for x in zip(best, (q, c, score)))
+        kept = _best(q, ids[c], score, k)
+        best = q[kept], c[kept], score[kept]
+        # the k-th distance so far, where there are k
+        last = np.searchsorted(best[0], np.arange(len(asked)), side="right") - 1
+        full = np.flatnonzero(np.bincount(best[0], minlength=len(asked)) == k)
+        bound[full] = (2 - 2 * best[2][last[full]]) * (1 + 1e-9) + 1e-9
+        at, step = at + step, min(2 * step, CHUNK_ROWS)
+    return best
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best."""
-    order = np.lexsort((ids, -score, q))
+    """Places of each query's k best ids, best first, queries in order; a repeated id counts once."""
+    order = np.lexsort((-score, ids, q))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[first]
+    order = order[np.lexsort((ids[order], -score[order], q[order]))]
     sorted_q = q[order]
     rank = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q)
     return order[rank < k]
 
 
+def paired_blocks(indexed: DataFrame, probed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both ``(vec_id, vector, list)`` tables dealt by ``list, block, query_block``, so that each row of a list meets each of its queries once."""
+    # bounded tables: one row a list
+    blocks = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    asked = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("query_blocks"))
+    sizes = F.broadcast(blocks.join(asked, "list"))  # a list that no query probes has no row
+    block = F.pmod(F.xxhash64("vec_id", "vector"), "blocks").cast("int").alias("block")
+    query_block = F.pmod(F.xxhash64("vec_id"), "query_blocks").cast("int").alias("query_block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index_side = indexed.join(sizes, "list").select("list", block, every("query_blocks").alias("query_block"), "vec_id", "vector")
+    query_side = probed.join(sizes, "list").select("list", every("blocks").alias("block"), query_block, "vec_id", "vector")
+    return index_side, query_side
+
+
 def nearest(rows: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest by cosine of every query row.
 
@@ -157,31 +185,28 @@ def nearest(rows: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, reca
                 near = np.argmax(_unit(_matrix(batch.column("vector"))) @ sent.value.T, axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], [*batch.schema.names, "list"])
 
+    schema = "vec_id long, vector array<double>, list int"
+    valid = valid.withColumn("vec_id", F.col("vec_id").cast("long"))
+    indexed = materialize(valid.mapInArrow(assign, schema))
+    # ids by the least of their lists (a repeated id may be in several): at most MAX_LISTS rows
+    held = np.zeros(max(1, len(centroids)), dtype=np.int64)
+    for row in indexed.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        held[row["list"]] = row["count"]
+
     def probe(batches):
         for batch in batches:
             if batch.num_rows:
                 near = np.argsort(-(_unit(_matrix(batch.column("vector"))) @ sent.value.T), axis=1, kind="stable")
-                lists_of = pa.array(near[:, :probes].ravel(), pa.int32())
-                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), probes)))
-                yield pa.RecordBatch.from_arrays([*again.columns, lists_of], [*batch.schema.names, "list"])
+                covered = np.cumsum(held[near], axis=1)
+                # the query itself may be one of the ids
+                wanted = np.maximum(probes, (covered < k + 1).sum(axis=1) + 1)
+                row, place = np.nonzero(np.arange(near.shape[1]) < wanted[:, None])
+                again = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(near[row, place], pa.int32())], [*batch.schema.names, "list"])
 
-    schema = "vec_id long, vector array<double>, list int"
-    valid = valid.withColumn("vec_id", F.col("vec_id").cast("long"))
-    indexed = materialize(valid.mapInArrow(assign, schema))
     asked = valid.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = materialize(asked)
-    # a bounded table: one row a list
-    blocks = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    query_blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("vec_id", "vector"), "blocks").cast("int").alias("block")
-    query_block = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    index_side = indexed.join(F.broadcast(blocks), "list").select(
-        "list", block, every(F.lit(query_blocks)).alias("query_block"), "vec_id", "vector"
-    )
-    query_side = asked.mapInArrow(probe, schema).join(F.broadcast(blocks), "list").select(
-        "list", every(F.col("blocks")).alias("block"), query_block, "vec_id", "vector"
-    )
+    probed = materialize(asked.mapInArrow(probe, schema))
+    index_side, query_side = paired_blocks(indexed, probed)
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -192,8 +217,7 @@ def nearest(rows: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, reca
         step = max(1, (1 << 22) // len(ids))  # cells compared at once
         for at in range(0, len(query_ids), step):
             q, c, score = scan_block(vectors, ids, queries[at : at + step], query_ids[at : at + step], k)
-            best = _best(q, ids[c], score, k)
-            found.append((query_ids[at : at + step][q[best]], ids[c[best]], score[best]))
+            found.append((query_ids[at : at + step][q], ids[c], score))
         columns = (np.concatenate(x) for x in zip(*found))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
 
