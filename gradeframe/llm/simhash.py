@@ -7,6 +7,8 @@ have it. Fingerprints are linked at ``max_bits`` or fewer differing bits, exactl
   Hamming distance to its vantage point, at the sample's median. The leaves are *shards*:
   every distinct fingerprint belongs to one, and by the triangle inequality a fingerprint
   within ``max_bits`` of a node's boundary also queries the shard beyond it.
+* The fingerprints that query a shard grow faster than the shard, so they come in blocks of about ``QUERY_ROWS``:
+  a task is one block with the shard's members, whatever the size of the corpus.
 * In a shard a deeper vantage-point tree splits members into bands of equal distance. A query
   visits only bands within ``max_bits`` of its own distance; small bands are compared directly.
   No more than some 44,000 fingerprints lie within 3 bits of one, so a shard's work on each
@@ -43,6 +45,8 @@ SEED = 42
 #: Fingerprints that a shard is meant to hold, and that the top tree is grown from.
 SHARD_SIZE = 65_536
 TREE_SAMPLE = 50_000
+#: Fingerprints of other shards that query a shard in one task; its members are repeated for each such block.
+QUERY_ROWS = 262_144
 #: Cells of one direct comparison.
 BLOCK = 1 << 22
 
@@ -185,14 +189,14 @@ class _Forest:
                 root[:] = above
 
 
-def shard_links(values: np.ndarray, home: np.ndarray, max_bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(values: np.ndarray, home: np.ndarray, max_bits: int, asks: np.ndarray | None = None, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Links ``(value, value)`` that connect all pairs of a home value and any value within ``max_bits``.
 
-    ``values`` are distinct; ``home`` marks those that belong to the shard.
+    ``values`` are distinct; ``home`` marks those that belong to the shard, ``asks`` those that query (by default all).
     """
     rng = np.random.default_rng(seed)
     forest = _Forest(len(values))
-    stack = [(np.arange(len(values)), np.flatnonzero(home), 0)]
+    stack = [(np.arange(len(values)) if asks is None else np.flatnonzero(asks), np.flatnonzero(home), 0)]
     while stack:
         queries, members, depth = stack.pop()
         if not len(queries) or not len(members):
@@ -238,12 +242,24 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_size: int = SHARD
             )
 
     def search(table: pa.Table) -> pa.Table:
-        values = table.column("fp").to_numpy().view(np.uint64)
-        a, b = shard_links(values, table.column("home").to_numpy(), max_bits)
+        values, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
+        # members meet each other in the first block only
+        first = len(values) and table.column("block")[0].as_py() == 0
+        a, b = shard_links(values, home, max_bits, np.ones(len(values), dtype=bool) if first else ~home)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, routed)
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = query_blocks(materialize(distinct.select("fp").mapInArrow(deal, routed)))
+    return dealt.groupBy("shard", "block").applyInArrow(search, "a long, b long")
+
+
+def query_blocks(routed: DataFrame) -> DataFrame:
+    """``shard, block, fp, home``: the queries of a shard in blocks, its members in each."""
+    foreign = routed.filter(~F.col("home"))
+    blocks = materialize(foreign.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+    queries = foreign.join(blocks, "shard").select("shard", own, "fp", "home")
+    return routed.filter("home").join(blocks, "shard", "left").select("shard", every, "fp", "home").unionByName(queries)
 
 
 def near_duplicates(fingerprinted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradeframe.llm import decontamination, nearest, repeats, simhash
@@ -132,7 +133,9 @@ def test_simhash(make_docs, odd_rows):
     assert simhash.simhash_groups(make_docs()).count() == 0
 
 
-def test_shards_find_every_near_pair(spark):
+@pytest.mark.parametrize("query_rows", [16, simhash.QUERY_ROWS])
+def test_shards_find_every_near_pair(spark, monkeypatch, query_rows):
+    monkeypatch.setattr(simhash, "QUERY_ROWS", query_rows)
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, size=150, dtype=np.uint64)
     values = set(centres.tolist())
@@ -181,6 +184,39 @@ def test_nearest(spark, monkeypatch):
     assert len(found) == 18 * 5 and hits >= 0.9 * len(found)
 
 
+def test_blocks_of_queries_bound_a_shard(spark, monkeypatch):
+    """However many fingerprints query a shard, a task has its members and one block of them."""
+    monkeypatch.setattr(simhash, "QUERY_ROWS", 100)
+    for n in (2_000, 8_000):
+        routed = spark.range(n).selectExpr("id % 2 AS shard", "id AS fp", "id < 80 AS home")
+        groups = simhash.query_blocks(routed).groupBy("shard", "block").agg({"home": "count"}).collect()
+        assert max(g[2] for g in groups) <= 40 + 200
+        assert sum(g[2] for g in groups) == n - 80 + 40 * len(groups)
+
+
+def test_index_rows_are_repeated_for_queries_of_their_list_only(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 10)
+    for n in (1_000, 4_000):
+        indexed = spark.range(n).selectExpr("id AS vec_id", "array(1.0D) AS vector", f"CAST(id % {n // 100} AS int) AS list")
+        index_side, query_side = nearest.paired_blocks(indexed, indexed.filter("vec_id % 5 = 0"))
+        assert index_side.count() == 2 * n and query_side.count() == n // 5
+
+
+def test_nearest_widens_probes_and_counts_repeated_ids_once(spark, monkeypatch):
+    """Five others are found from a tiny far cluster, and beside an id with many rows."""
+    monkeypatch.setattr(nearest, "ROWS_PER_LIST", 50)
+    monkeypatch.setattr(nearest, "needed_probes", lambda *_: 1)
+    rng = np.random.default_rng(6)
+    vectors = np.r_[rng.normal(size=(600, 16)) * 0.05 + 1, rng.normal(size=(2, 16)) * 0.01 - 1]
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(vectors[:600])] + [(700, vectors[600].tolist()), (750, vectors[601].tolist())]
+    rows += [(3, vectors[49].tolist())] * 90  # nearest to query 50, many times
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("extra", F.lit(1))
+    found = nearest.nearest(frame.withColumnRenamed("extra", "list")).collect()
+    by_query = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(50, 751, 50)}
+    assert all(len(set(ids)) == 5 and q not in ids for q, ids in by_query.items() if q != 650)
+    assert by_query[700][0] == 750 and by_query[750][0] == 700 and by_query[50][0] == 3
+
+
 def test_nearest_of_few(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     found = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(rows).collect()]
