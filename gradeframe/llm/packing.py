@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from fractions import Fraction
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,6 @@ CAPACITY = 4_096
 END_ID = 1
 #: Pieces packed by one task, some 2 MB.
 PART_PIECES = 32_768
-MAX_ROUNDS = 8
 #: Word parts whose ids a worker process keeps, some 100 MB.
 KEPT_WORDS = 500_000
 
@@ -252,7 +252,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     parts = max(1, -(-pool.count() // part_pieces))
     packed = materialize(_packed(pool, parts, capacity, 0))
     done = []
-    for number in range(1, MAX_ROUNDS + 1):
+    for number in count(1):  # each round saves a bin or is the last
         released = packed.filter(~F.col("kept"))
         bins, left = bins_of(released) if parts > 1 else (0, 0)
         if not left:
